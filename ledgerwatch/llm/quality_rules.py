@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwatch.llm.common import whole, words
+from ledgerwatch.llm.common import shingle_hashes, whole, words
 
 # Frequent function words of four languages.
 STOP_WORDS = (
@@ -54,6 +54,10 @@ DEFAULT_RULES = (
 )
 
 
+#: A whole word without a letter.
+_LETTERLESS = r"(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]++(?![^\x20\x09-\x0D])"
+
+
 def _ratio(a: str, b: str) -> Column:
     return F.when(F.col(b) == 0, F.lit(0.0)).otherwise(F.col(a) / F.col(b))
 
@@ -88,17 +92,13 @@ def measured(df: DataFrame, text_col: str = "text", keep: list[str] | None = Non
     base = base.select(
         "*",
         F.filter(F.split(F.col("__t"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines"),
-        F.when(
-            F.size("__w") >= 3,
-            F.sort_array(
-                F.transform(
-                    F.sequence(F.lit(0), F.size("__w") - 3),
-                    lambda i: F.struct(
-                        F.xxhash64(*[F.get(F.col("__w"), i + k) for k in range(3)]).alias("h"), i.alias("i")
-                    ),
-                )
-            ),
-        )
+        shingle_hashes("__w", 3, short_whole=False).alias("__h"),
+    )
+    # Most texts repeat no window, which a hash set tells sooner than a sort.
+    placed = F.sort_array(F.transform(F.col("__h"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    base = base.select(
+        "*",
+        F.when(F.size(F.array_distinct("__h")) < F.size("__h"), placed)
         .otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
         .alias("__g"),
     )
@@ -128,10 +128,8 @@ def measured(df: DataFrame, text_col: str = "text", keep: list[str] | None = Non
         n(F.size("__lines") - F.size(F.array_distinct("__lines"))).alias("n_dup_lines"),
         n(F.size(F.filter("__lines", lambda x: x.rlike(r"^\s*[-*•]\s")))).alias("n_bullet_lines"),
         n(F.size(F.filter("__lines", lambda x: x.rlike(r"(\.\.\.|…)\s*$")))).alias("n_ellipsis_lines"),
-        n(
-            F.size(F.filter("__w", lambda x: F.rtrim(F.lower(x), F.lit(".,;:!?")).isin(*dict.fromkeys(STOP_WORDS))))
-        ).alias("n_stop_words"),
-        n(F.size(F.filter("__w", lambda x: x.rlike(r"\p{L}")))).alias("n_letter_words"),
+        n(F.size(F.filter("__w", lambda x: F.lower(x).isin(*dict.fromkeys(STOP_WORDS))))).alias("n_stop_words"),
+        n(F.size("__w") - F.regexp_count("__t", F.lit(_LETTERLESS))).alias("n_letter_words"),
         n(covered).alias("n_repeat_words"),
     )
 

@@ -41,7 +41,7 @@ m AS (
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
     coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines,
-    len(list_filter(ws, lambda x: rtrim(lower(x), '.,;:!?') IN ({", ".join(repr(x) for x in dict.fromkeys(quality_rules.STOP_WORDS))})))::BIGINT AS n_stop_words,
+    len(list_filter(ws, lambda x: lower(x) IN ({", ".join(repr(x) for x in dict.fromkeys(quality_rules.STOP_WORDS))})))::BIGINT AS n_stop_words,
     len(list_filter(ws, lambda x: regexp_matches(x, '\p{{L}}')))::BIGINT AS n_letter_words,
     len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[-*•]\s')))::BIGINT AS n_bullet_lines,
     len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$')))::BIGINT AS n_ellipsis_lines
