@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwatch.llm import quality_rules, url_filter
+from ledgerwatch.llm import mixing, quality_rules, secret_scan, url_filter
 
 SP = r"[\x20\x09-\x0D]+"
 
@@ -22,6 +22,21 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, weights).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = secret_scan.find(docs, keep=["doc_id"], repo_col="source", owner_col="source")
+    of = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("bigint")
+    return out.select(
+        "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
+        F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"), "n_live", "n_example",
+    )
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.apply_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -53,11 +68,47 @@ SELECT *, NOT base_failed AND n_words >= 50 AND word_chars / n_words BETWEEN 2 A
 FROM b
 """
 
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_OP3_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+p(k, p) AS (VALUES (0, {_sql_text(secret_scan.ASSIGN)}), (1, '{secret_scan.ACCESS}'), (2, '{secret_scan.HEX}'),
+  (3, '[A-Za-z0-9+/_=-]{{20,}}')),
+f AS (SELECT doc_id, source, k, regexp_extract_all(t, p) AS m, regexp_split_to_array(t, p) AS s FROM d, p WHERE regexp_matches(t, p)),
+u AS (SELECT doc_id, source, k, m, s, unnest(range(1, len(m) + 1)) AS i FROM f),
+x AS (
+  SELECT doc_id, source, k, m[i] AS v,
+    CASE WHEN k = 0 THEN regexp_replace(m[i], {_sql_text(secret_scan._ASSIGN_HEAD)}, '') ELSE m[i] END AS val,
+    list_sum(list_transform(s[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) AS st
+  FROM u),
+y AS (SELECT *, st + length(v) AS en FROM x),
+base AS (SELECT * FROM y WHERE k < 3 AND (k <> 0 OR length(val) >= 6)),
+maybe AS (
+  SELECT * FROM y WHERE k = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 10
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = y.doc_id AND b.st < y.en AND y.st < b.en)),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM maybe),
+live AS (SELECT val FROM every GROUP BY val HAVING count(DISTINCT source) <= {secret_scan.MAX_OWNERS}),
+z AS (
+  SELECT doc_id, k, st, ['assign', 'access', 'hex', 'random'][k + 1] || ':' || st || ':' || en AS s, val IN (SELECT val FROM live) AS l FROM every),
+g AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2,
+    string_agg(s, ',' ORDER BY st, k) FILTER (k < 3) AS b, string_agg(s, ',' ORDER BY st, k) FILTER (k < 3 OR l) AS a,
+    count(*) FILTER (k < 3 AND l) AS nl, count(*) FILTER (k < 3 AND NOT l) AS ne
+  FROM z GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex,
+  sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans, coalesce(nl, 0)::BIGINT AS n_live, coalesce(ne, 0)::BIGINT AS n_example
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op3_secret_scan": op3_secret_scan,
+    "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
 }
-_SQL = {"op8_quality_rules": _OP8_SQL}
+_SQL = {"op3_secret_scan": _OP3_SQL, "op8_quality_rules": _OP8_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
