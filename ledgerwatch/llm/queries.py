@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwatch.llm import mixing, quality_rules, secret_scan, url_filter
+from ledgerwatch.llm import (
+    chat_format,
+    mixing,
+    quality_cnn,
+    quality_rules,
+    secret_scan,
+    token_counts,
+    url_filter,
+    warc_fixity,
+)
 
 SP = r"[\x20\x09-\x0D]+"
 
@@ -33,6 +42,31 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], chats.schema)
+    out = chat_format.loss_digest(chat_format.format_chats(chats.unionByName(own)))
+    return out.withColumnRenamed("conv", "conv_id")
+
+
+def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = quality_cnn.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    out = quality_cnn.score(docs, net)
+    return out.select("doc_id", quality_cnn.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    a = warc_fixity.tree(warc_fixity.records(pages), "warc-a")
+    b = warc_fixity.tree(warc_fixity.records(warc_fixity.damaged(pages)), "warc-b")
+    out = warc_fixity.located(a, b)
+    return out.select(
+        F.col("key").alias("page_id"), "file", F.col("offset_a").alias("offset"), F.col("bytes_a").alias("length"), "kind"
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -68,6 +102,10 @@ SELECT *, NOT base_failed AND n_words >= 50 AND word_chars / n_words BETWEEN 2 A
 FROM b
 """
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _sql_text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -102,13 +140,28 @@ SELECT d.doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS
 FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """
 
+_OP6_SQL = f"""
+WITH r AS (
+  SELECT page_id, page_id // {warc_fixity.FILE_PLACES} AS file,
+    strlen('WARC/1.0..WARC-Type: resource..WARC-Target-URI: ' || coalesce(url, '') || '..WARC-Date: {warc_fixity.DATE}..WARC-Record-ID: <urn:page:'
+      || page_id || '>..Content-Type: text/html..Content-Length: ' || strlen(coalesce(html, '')) || '....' || coalesce(html, '') || '....') AS length
+  FROM pages),
+o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM r)
+SELECT page_id, file, "offset", length::BIGINT AS length, CASE WHEN page_id % 211 = 11 THEN 'missing' ELSE 'changed' END AS kind
+FROM o WHERE page_id % 211 = 11 OR page_id % 101 = 7
+"""
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_secret_scan": op3_secret_scan,
+    "op4_chat_format": op4_chat_format,
+    "op5_quality_cnn": op5_quality_cnn,
+    "op6_warc_fixity": op6_warc_fixity,
     "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_token_counts": op9_token_counts,
 }
-_SQL = {"op3_secret_scan": _OP3_SQL, "op8_quality_rules": _OP8_SQL}
+_SQL = {"op3_secret_scan": _OP3_SQL, "op6_warc_fixity": _OP6_SQL, "op8_quality_rules": _OP8_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
