@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.llm import (
     chat_format,
+    decontaminate,
+    jaccard_join,
     mixing,
     quality_cnn,
     quality_rules,
@@ -31,6 +33,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, weights).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, bench = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return decontaminate.leaks(docs, bench)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = secret_scan.find(docs, keep=["doc_id"], repo_col="source", owner_col="source")
@@ -106,6 +113,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.join(docs, jaccard_join.Measure(n=4, num=85, den=100))
+
+
 def _sql_text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -140,6 +152,37 @@ SELECT d.doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS
 FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """
 
+_OP2_SQL = f"""
+WITH i AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SP}'), lambda x: x <> '') AS ws
+  FROM benchmark),
+iw AS (SELECT *, least(5, len(ws)) AS k FROM i WHERE len(ws) > 0),
+ish AS (SELECT DISTINCT item_id, k, array_to_string(ws[p:p + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS p FROM iw)),
+n AS (SELECT item_id, count(*) AS n FROM ish GROUP BY item_id),
+d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SP}'), lambda x: x <> '') AS ws
+  FROM documents),
+dsh AS (
+  SELECT DISTINCT doc_id, k, array_to_string(ws[p:p + k - 1], ' ') AS s
+  FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM iw) WHERE len(ws) >= k)),
+m AS (SELECT doc_id, item_id, count(*) AS shared FROM dsh JOIN ish USING (k, s) GROUP BY doc_id, item_id)
+SELECT doc_id, m.item_id, n::BIGINT AS n_shingles, shared::BIGINT AS n_shared, round(shared / n, 6) AS containment
+FROM m JOIN n ON m.item_id = n.item_id WHERE 100 * shared >= 80 * n
+"""
+_OP4_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+x AS (
+  SELECT *, 12 + 1 + 10 + 1 + length(role) + length(text) + len(regexp_extract_all(text,
+    '[<\[]\\*(\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)')) AS f FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(f)::BIGINT AS formatted_chars, 0::INT AS rewrites
+FROM x GROUP BY conv_id
+"""
+
 _OP6_SQL = f"""
 WITH r AS (
   SELECT page_id, page_id // {warc_fixity.FILE_PLACES} AS file,
@@ -153,6 +196,7 @@ FROM o WHERE page_id % 211 = 11 OR page_id % 101 = 7
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_decontaminate": op2_decontaminate,
     "op3_secret_scan": op3_secret_scan,
     "op4_chat_format": op4_chat_format,
     "op5_quality_cnn": op5_quality_cnn,
@@ -160,8 +204,13 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
+    "op10_jaccard_join": op10_jaccard_join,
 }
-_SQL = {"op3_secret_scan": _OP3_SQL, "op6_warc_fixity": _OP6_SQL, "op8_quality_rules": _OP8_SQL}
+_SQL = {
+    "op2_decontaminate": _OP2_SQL,
+    "op3_secret_scan": _OP3_SQL,
+    "op4_chat_format": _OP4_SQL,
+    "op6_warc_fixity": _OP6_SQL, "op8_quality_rules": _OP8_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
