@@ -49,6 +49,16 @@ def shingle_hashes(words_col: str, n: int, short_whole: bool = True) -> Column:
     return F.when(F.size(w) >= n, runs).otherwise(few)
 
 
+def pinned(c: Column) -> Column:
+    """The column, in a form that keeps filters on it above its projection.
+
+    Pushed below, a filter would put whole expressions in place of columns, also
+    inside lambdas that look up their neighbours, and so work out an array once for
+    each of its elements.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
     there = spark.conf.get("spark.checkpoint.dir", None)

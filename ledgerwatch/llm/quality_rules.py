@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwatch.llm.common import shingle_hashes, whole, words
+from ledgerwatch.llm.common import pinned, shingle_hashes, whole, words
 
 # Frequent function words of four languages.
 STOP_WORDS = (
@@ -86,7 +86,7 @@ def measured(df: DataFrame, text_col: str = "text", keep: list[str] | None = Non
     bring equal windows together, n log n in the words of one text.
     """
     keep = list(df.columns) if keep is None else keep
-    kept = [F.col(f"`{c}`") for c in keep]
+    kept = [F.col(f"`{c}`") for c in keep if c not in COUNTS]
     base = df.select(*kept, whole(F.col(f"`{text_col}`")).alias("__t"))
     base = base.select("*", words(F.col("__t")).alias("__w"))
     base = base.select(
@@ -118,7 +118,7 @@ def measured(df: DataFrame, text_col: str = "text", keep: list[str] | None = Non
         F.lit(0).cast("bigint"),
         lambda a, x: a + x,
     )
-    n = lambda c: c.cast("bigint")
+    n = lambda c: pinned(c.cast("bigint"))
     return base.select(
         *kept,
         n(F.size("__w")).alias("n_words"),
@@ -155,5 +155,6 @@ def apply_rules(
     df: DataFrame, text_col: str = "text", keep: list[str] | None = None, rules: tuple[Rule, ...] = DEFAULT_RULES
 ) -> DataFrame:
     """The kept columns, COUNTS, base_failed and kept (false where base_failed, else the table's verdict)."""
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ("base_failed", "kept")]
     out = measured(df, text_col, keep)
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))

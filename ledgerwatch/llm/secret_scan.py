@@ -87,10 +87,15 @@ def _value(span: Column) -> Column:
     return F.when(span["k"] == 0, F.regexp_replace(span["v"], _ASSIGN_HEAD, "")).otherwise(span["v"])
 
 
-def scan(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns, base spans (array of s, k, e, v, ordered) and random-looking candidates outside them."""
-    keep = [c for c in df.columns if c != text_col] if keep is None else keep
-    out = df.select(*[F.col(f"`{c}`") for c in keep], whole(F.col(f"`{text_col}`")).alias("__t"))
+def scan(df: DataFrame, text_col: str, keep: list[str], repo_col: str, owner_col: str) -> DataFrame:
+    """Base spans (array of s, k, e, h, ordered) and random-looking candidates outside them, of each text.
+
+    The kept columns come in a struct, whose names clash with none here.
+    """
+    c = lambda n: F.col(f"`{n}`")
+    place = lambda n: F.coalesce(c(n).cast("string"), F.lit(""))
+    kept = F.struct(*[c(n) for n in keep])
+    out = df.select(kept.alias("__keep"), place(repo_col).alias("__repo"), place(owner_col).alias("__owner"), whole(c(text_col)).alias("__t"))
     for kind, pattern in enumerate((ASSIGN, ACCESS, HEX, RANDOM)):
         out = _found(out, kind, pattern)
     valid = F.filter("__s0", lambda x: F.char_length(_value(x)) >= 6)
@@ -104,16 +109,12 @@ def scan(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -
     hashed = lambda c: F.transform(
         c, lambda x: F.struct(x["s"], x["k"], x["e"], F.unhex(F.sha2(_value(x), 256)).alias("h"))
     )
-    return out.select(*[F.col(f"`{c}`") for c in keep], hashed(F.col("base")).alias("base"), hashed(F.col("maybe")).alias("maybe"))
+    return out.select("__keep", "__repo", "__owner", hashed(F.col("base")).alias("base"), hashed(F.col("maybe")).alias("maybe"))
 
 
-def ownership(scanned: DataFrame, repo_col: str, owner_col: str) -> DataFrame:
+def ownership(scanned: DataFrame) -> DataFrame:
     """Distinct repositories and owners of each value (h) over the whole corpus, and its rows."""
-    spans = scanned.select(
-        F.coalesce(F.col(f"`{repo_col}`").cast("string"), F.lit("")).alias("r"),
-        F.coalesce(F.col(f"`{owner_col}`").cast("string"), F.lit("")).alias("o"),
-        F.explode(F.concat("base", "maybe")).alias("x"),
-    )
+    spans = scanned.select(F.col("__repo").alias("r"), F.col("__owner").alias("o"), F.explode(F.concat("base", "maybe")).alias("x"))
     by_place = spans.groupBy(F.col("x.h").alias("h"), "r", "o").agg(F.count(F.lit(1)).alias("n"))
     by_owner = by_place.groupBy("h", "o").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
     return by_owner.groupBy("h").agg(
@@ -143,10 +144,9 @@ def find(
     owners counts as live, else as a copied example.
     """
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
-    need = list(dict.fromkeys([*keep, repo_col, owner_col]))
     # A row's number is fixed by what is written: later reads see the same one.
-    scanned = written(scan(df, text_col, need).withColumn("__row", F.monotonically_increasing_id()), "secrets")
-    own = ownership(scanned, repo_col, owner_col).where(F.col("owners") <= max_owners).select("h")
+    scanned = written(scan(df, text_col, keep, repo_col, owner_col).withColumn("__row", F.monotonically_increasing_id()), "secrets")
+    own = ownership(scanned).where(F.col("owners") <= max_owners).select("h")
     hits = scanned.select("__row", F.explode(F.concat("base", "maybe")).alias("x"))
     live = (
         hits.join(own, F.col("x.h") == own["h"], "left_semi")
@@ -160,7 +160,7 @@ def find(
     spans = F.concat(F.col("base"), F.coalesce(F.col("__add"), F.array().cast("array<struct<s:bigint,k:int,e:bigint,h:binary>>")))
     n_live = F.coalesce(F.col("n_live"), F.lit(0)).cast("bigint")
     return out.select(
-        *[F.col(f"`{c}`") for c in keep], F.col("base"), spans.alias("spans"), n_live.alias("n_live"),
+        *[F.col(f"__keep.`{c}`").alias(c) for c in keep], F.col("base"), spans.alias("spans"), n_live.alias("n_live"),
         (F.size("base") - n_live).cast("bigint").alias("n_example"),
     )
 

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerwatch.llm.common import pinned
+
 #: Weights of the model, besides the bias.
 N_BUCKETS = 512
 #: Lengths of the character n-grams.
@@ -161,7 +163,7 @@ def score(df: DataFrame, weights: list[float]) -> DataFrame:
     b = with_buckets(df)
     total = F.aggregate("__b", F.lit(0.0), lambda a, c: a + F.get(table, c))
     margin = total / F.sqrt(F.greatest(F.size("__b"), F.lit(1)).cast("double")) + F.lit(weights[-1])
-    return b.withColumn("score", 1 / (1 + F.exp(-margin))).drop("__b")
+    return b.withColumn("score", pinned(1 / (1 + F.exp(-margin)))).drop("__b")
 
 
 def judge(
