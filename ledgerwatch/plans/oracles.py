@@ -70,7 +70,7 @@ _RECENT = "r AS (SELECT * FROM l2 WHERE ts >= TIMESTAMP '2001-12-01' - INTERVAL
 _SUPPLY = f"{_L2}, {_RECENT}, {_EDGES.format(src='r')}, x AS (SELECT src_id AS account_id, dst_key, first_seen_at, last_seen_at, txn_count FROM e WHERE src_type = 'account' AND dst_type = 'counterparty')"
 _PROJECTED = f"{_SUPPLY}, p AS (SELECT DISTINCT a.account_id AS src, b.account_id AS dst FROM x a JOIN x b ON a.dst_key = b.dst_key AND a.account_id <> b.account_id)"
 
-_LIST = "n AS (SELECT DISTINCT lower(p_name) AS name FROM part), q(entry) AS (VALUES ('almond blush'), ('misty rose'), ('green lace'), ('royal plum'))"
+_LIST = "n AS (SELECT DISTINCT lower(p_name) AS name FROM part), q(entry) AS (VALUES ('cold widgit'), ('blew rod'), ('large bolts'), ('new rink'))"
 
 _DIRTY = """d AS (
   SELECT event_id AS i, CASE WHEN event_id % 50 = 3 THEN NULL ELSE 'ACC' || user_id END AS acct,
@@ -84,11 +84,11 @@ k AS (
 
 _EXT = "sha256(account_id || '|' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN date_part('us', ts)::BIGINT % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END || '+00:00|' || printf('%.2f', amount) || '|USD|' || lower(counterparty) || '|' || direction)"
 
-_FEATURES = """SELECT id AS transaction_id, account_id, round((amount - {mean}) / greatest(coalesce({sd}, 0), 1e-9), 4) AS amount_zscore,
+_FEATURES = """SELECT id AS transaction_id, account_id, round((amount - {mean}) / greatest(coalesce({sd}, 0), 1e-9), 4) + 0.0::DOUBLE AS amount_zscore,
   (count(*) OVER (PARTITION BY account_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) - 1)::DOUBLE AS velocity_1h,
   (count(*) OVER (PARTITION BY account_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) - 1)::DOUBLE AS velocity_24h,
   {cp}::DOUBLE AS counterparty_diversity, {co}::DOUBLE AS country_diversity,
-  round(sin(2 * pi() * (hour(ts) + minute(ts) / 60) / 24), 4) AS time_of_day_sin, round(cos(2 * pi() * (hour(ts) + minute(ts) / 60) / 24), 4) AS time_of_day_cos
+  round(sin(2 * pi() * (hour(ts) + minute(ts) / 60) / 24), 4) + 0.0::DOUBLE AS time_of_day_sin, round(cos(2 * pi() * (hour(ts) + minute(ts) / 60) / 24), 4) + 0.0::DOUBLE AS time_of_day_cos
 FROM l1"""
 _ALL, _SOFAR = "OVER (PARTITION BY account_id)", "OVER (PARTITION BY account_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
@@ -184,7 +184,7 @@ ORACLES: dict[str, str] = {
     "fuzzy_levenshtein": f"""WITH {_LIST} SELECT name, entry, round(1 - levenshtein(name, entry)::DOUBLE / greatest(length(name), length(entry)), 4) AS score FROM n, q
       WHERE round(1 - levenshtein(name, entry)::DOUBLE / greatest(length(name), length(entry)), 4) >= 0.35""",
     "fuzzy_jaro_winkler": f"WITH {_LIST} SELECT name, entry, round(jaro_winkler_similarity(name, entry), 4) AS score FROM n, q WHERE round(jaro_winkler_similarity(name, entry), 4) >= 0.72",
-    "pep_screening": f"""WITH {_LIST}, u(entry_id, entry) AS (VALUES (0::BIGINT, 'almond blush'), (0, 'blush almond'), (2, 'green lace'), (2, 'lace green')),
+    "pep_screening": f"""WITH {_LIST}, u(entry_id, entry) AS (VALUES (0::BIGINT, 'cold widgit'), (0, 'widgit cold'), (2, 'large bolts'), (2, 'bolts large')),
       m AS (SELECT name, entry_id, max(1 - levenshtein(name, entry)::DOUBLE / greatest(length(name), length(entry))) AS s FROM n, u GROUP BY ALL)
       SELECT name, entry_id, round(s, 4) AS score FROM m WHERE s >= 0.35""",
     "feature_matrix": _features(_ALL), "online_features": _features(_SOFAR),

@@ -31,7 +31,7 @@ EVENTS_END = datetime(2024, 1, 31)
 SHIP_END = datetime(2001, 12, 1)
 ORDERS_END = datetime(2001, 8, 2)
 
-LISTED = ["almond blush", "misty rose", "green lace", "royal plum"]
+LISTED = ["cold widgit", "blew rod", "large bolts", "new rink"]
 
 
 def at(t: datetime) -> Column:
