@@ -194,6 +194,19 @@ SELECT page_id, file, "offset", length::BIGINT AS length, CASE WHEN page_id % 21
 FROM o WHERE page_id % 211 = 11 OR page_id % 101 = 7
 """
 
+_OP10_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SP}'), lambda x: x <> '') AS ws
+  FROM documents),
+k AS (SELECT *, least(4, len(ws)) AS k FROM d WHERE len(ws) > 0),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS p FROM k)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+m AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM m JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.c = e.x)
+SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON r.doc_id = n.doc_id GROUP BY r.doc_id
+"""
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
@@ -210,6 +223,7 @@ _SQL = {
     "op2_decontaminate": _OP2_SQL,
     "op3_secret_scan": _OP3_SQL,
     "op4_chat_format": _OP4_SQL,
+    "op10_jaccard_join": _OP10_SQL,
     "op6_warc_fixity": _OP6_SQL, "op8_quality_rules": _OP8_SQL}
 
 

@@ -1,0 +1,41 @@
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from ledgerwatch.llm import jaccard_join, quality_rules
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_stages_hand_on_documents_and_decide(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    columns, before = docs.columns, {r["doc_id"]: r["text"] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.written(stage(spark, docs, SMALL), f"test-{name}")
+        assert out.columns == columns and out.schema == docs.schema
+        after = {r["doc_id"]: r["text"] for r in out.collect()}
+        if name == "quality_rules":
+            kept = {r["doc_id"] for r in quality_rules.apply_rules(docs).where("kept").collect()}
+            assert set(after) == kept and len(kept) < len(before)
+        if name == "jaccard_join":
+            groups = {r["component_id"] for r in jaccard_join.join(docs, corpus_pipeline.NEAR).collect()}
+            assert set(after) == groups
+        if name != "secret_scan":
+            assert all(before[k] == v for k, v in after.items())
+        else:
+            assert set(after) == set(before) and any(before[k] != v for k, v in after.items())
+        docs, before = out, after
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
+    assert mixed.count() == len(before)
+
+
+def test_run(spark):
+    out = corpus_pipeline.run(spark, SMALL).collect()
+    assert out and all(r["taken"] <= 3 * r["size"] for r in out)
+
+
+def test_stages_take_odd_rows(spark, odd):
+    docs = odd.drop("extra")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SMALL).columns == docs.columns
+    kept = corpus_pipeline.without_secrets(spark, docs.withColumn("text", F.when(F.col("doc_id") == 5, "é password=abcdefgh é").otherwise(F.col("text"))), SMALL)
+    assert kept.count() == odd.count() and kept.where("text = 'é <assign> é'").count() == 1
