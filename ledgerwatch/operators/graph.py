@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwatch.functions.text import key
+from ledgerwatch.sources.shared import ready_to_checkpoint
 
 #: Level by level loops cut their plan after so many rounds.
 CUT_EVERY = 4
@@ -104,11 +105,7 @@ def _cut(df: DataFrame, round_: int) -> DataFrame:
     """Ends the plan's growth every few rounds, by a checkpoint in the shared folder."""
     if round_ % CUT_EVERY:
         return df
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().isDefined()):
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerwatch-"))
+    ready_to_checkpoint(df.sparkSession)
     return df.checkpoint()
 
 

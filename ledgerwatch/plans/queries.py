@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from datetime import datetime
 
@@ -17,6 +16,7 @@ from ledgerwatch.plans import rule_pack
 from ledgerwatch.schemas import NAME_LIST
 from ledgerwatch.sources import ledger_files
 from ledgerwatch.sources.adapters import alerts_of_orders, cases_of_customers, ledger_events, ledger_lineitem, ledger_orders, table
+from ledgerwatch.sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -426,12 +426,8 @@ def stream_sliding_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder for streams' results: shared on a cluster, a local one elsewhere."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='ledgerwatch-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/streams"
+    """A folder for streams' results."""
+    return f"{shared_dir(spark)}/streams"
 
 
 def _stream_copy(spark: SparkSession, sf_dir: str) -> str:
