@@ -20,9 +20,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 WIDTH = 6
 FILTERS = 16
@@ -183,17 +184,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(df: DataFrame, net: Network, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns and score."""
-    keep = [c for c in df.columns if c != text_col] if keep is None else keep
+    """The kept columns (one named score is replaced) and score."""
+    keep = [c for c in (df.columns if keep is None else keep) if c not in (text_col, "score")]
     sent = df.sparkSession.sparkContext.broadcast(net.params())
-    chosen = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__t"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "__t"), "score double"])
+    kept = df.select(*[F.col(f"`{c}`") for c in keep])
+    chosen = df.select(F.col(f"`{text_col}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in keep])
+    schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network(*sent.value)
         tables = own.pairs()
-        for pdf in batches:
-            texts = pdf.pop("__t")
-            yield pdf.assign(score=[probability(own, tables, t) for t in texts])
+        for b in batches:
+            scores = pa.array([probability(own, tables, t) for t in b.column(0).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], scores], names=[*keep, "score"])
 
-    return chosen.mapInPandas(run, schema)
+    return chosen.mapInArrow(run, schema)

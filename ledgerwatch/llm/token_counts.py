@@ -24,9 +24,10 @@ import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 MARK = "▁"
 #: Cached counts of words in a worker.
@@ -136,20 +137,23 @@ class Counter:
 
 
 def count_tokens(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
-    """The kept columns, n_tokens and n_words.
+    """The kept columns (those of these names are replaced), n_tokens and n_words.
 
     The vocabulary file is read once on the driver (its size is bounded by the
     tokenizer) and sent to the workers, which build the automaton once each.
     """
-    keep = [c for c in df.columns if c != text_col] if keep is None else keep
+    made = ("n_tokens", "n_words")
+    keep = [c for c in (df.columns if keep is None else keep) if c not in (text_col, *made)]
     sent = df.sparkSession.sparkContext.broadcast(vocabulary(path or default_vocabulary_path()))
-    chosen = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__t"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "__t"), "n_tokens long", "n_words long"])
+    kept = df.select(*[F.col(f"`{c}`") for c in keep])
+    chosen = df.select(F.col(f"`{text_col}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in keep])
+    schema = StructType([*kept.schema.fields, *(StructField(n, LongType()) for n in made)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(sent.value)
-        for pdf in batches:
-            both = [counter.text(t) for t in pdf.pop("__t")]
-            yield pdf.assign(n_tokens=[b[0] for b in both], n_words=[b[1] for b in both])
+        for b in batches:
+            both = [counter.text(t) for t in b.column(0).to_pylist()]
+            counts = [pa.array([x[i] for x in both], pa.int64()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *counts], names=[*keep, *made])
 
-    return chosen.mapInPandas(run, schema)
+    return chosen.mapInArrow(run, schema)
