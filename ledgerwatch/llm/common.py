@@ -68,10 +68,12 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write df as Parquet below the shared folder and read it back: its lineage ends there.
 
-    The files outlive lost executors. They go when the driver's JVM ends.
+    The files outlive lost executors. They go when the driver's JVM ends. The shuffle
+    files behind df are of no more use then, but Spark removes them only once the
+    driver has collected its garbage; free asks for that, after a large shuffle.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerwatch/{name}-{uuid.uuid4().hex}"
@@ -79,4 +81,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    if free:
+        jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

@@ -37,6 +37,8 @@ SHARD_SLOTS = 4096
 BUCKET_ROWS = 10_000
 #: Sources are held on the driver; more are refused.
 MAX_SOURCES = 10_000
+#: Slots that a task is meant to spread.
+SLOTS_PER_TASK = 250_000
 #: Rounds of the permutation.
 ROUNDS = 24
 
@@ -162,6 +164,8 @@ def slots_of(counts: DataFrame, sources: list[Source], seed: int, max_passes: in
     """Rows (s, block), one for each slot of the mix that is within the limit of passes."""
     earlier = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.withColumn("j0", F.coalesce(F.sum("n").over(earlier), F.lit(0))).where("n > 0")
+    # Shards are dealt anew: a source's slots must not stay in the task that summed its counts.
+    placed = placed.repartition(max(1, sum(x.blocks for x in sources) // SLOTS_PER_TASK), "s", "shard")
     many = F.get(F.lit([s.blocks for s in sources]), F.col("s")).cast("bigint")
     j = placed.select("s", many.alias("blocks"), F.explode(F.sequence(F.col("j0"), F.col("j0") + F.col("n") - 1)).alias("j"))
     j = j.where((F.col("blocks") > 0) & (F.col("j") < F.col("blocks") * max_passes))
