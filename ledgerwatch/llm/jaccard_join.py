@@ -18,8 +18,9 @@ that still hold two components or more are dealt into tiles of TILE rows, in
 which sets of different components are compared by bitmap: a set's bit string
 has a bit flipped for each element, so unequal bits bound the elements in which
 two sets differ from below, and the overlap from above. What passes is verified by the
-exact intersection of the sorted arrays. A tile passes on the pairs of the
-fewest unequal bits, and rounds go on, with larger portions, until no tile has held back any.
+exact intersection of the sorted arrays. In the first round a tile passes on no
+more pairs than join its components; from the second on it passes on all that
+are left, in portions that grow until no tile holds back any.
 
 Copies of one set are one class and cost one row in these steps. Hashes of
 n-grams and sets have 64 bits.
@@ -53,8 +54,11 @@ TILE = 2048
 BROADCAST_ROWS = 500_000
 #: Cached word hashes in a worker.
 MAX_CACHED = 300_000
-#: Pairs that a tile passes on for each two components, in the first round; 16 times as many in each next.
-FIRST_PORTION = 4
+#: Rows of tiles that a task is meant to have, and pairs that it remembers having passed on.
+TASK_ROWS = 100_000
+MAX_SEEN = 1_000_000
+#: Pairs that a tile passes on for each two components, in the first round that isn't a forest; 16 times as many in each next.
+FIRST_PORTION = 64
 
 _U = np.uint64
 _MULTIPLIERS = np.array([xxhash.xxh3_64_intdigest(f"multiplier {i}") | 1 for i in range(64)], dtype=_U)
@@ -276,16 +280,18 @@ def _label(rows: DataFrame, labels: DataFrame, col: str, out: str) -> DataFrame:
     return rows.join(side, rows[col] == side["__c"], "left").withColumn(out, F.coalesce("__l", col)).drop("__c", "__l")
 
 
-def _may_link(tile: pd.DataFrame, measure: Measure, portion: int) -> list[tuple[int, int, bool]]:
-    """Pairs of a tile's sets with different labels that may link, at most portion for each two labels.
+def _may_link(tile: pd.DataFrame, measure: Measure, portion: int) -> list[tuple[int | None, int | None, bool]]:
+    """Pairs of a tile's sets with different labels that may link; rows that aren't main meet all others.
 
-    Rows that aren't main meet all others; the third value tells whether pairs were held back.
+    With portion 0, a forest of such pairs: one that joins what others have joined
+    already is left out. Else at most portion pairs for each two labels, those of
+    the fewest unequal bits. A row (None, None, True) tells that there may be more.
     """
     c, first = np.unique(tile["c"].to_numpy(np.int64), return_index=True)
-    size, label = tile["n"].to_numpy(np.int64)[first], tile["label"].to_numpy(np.int64)[first]
+    size, label = tile["n"].to_numpy(np.int64)[first], tile["label"].to_numpy(np.int64)[first].copy()
     main = tile["main"].to_numpy(bool)[first]
-    bits = tile["bits"].to_numpy()[first]
-    words = folded(list(bits))
+    words = folded(list(tile["bits"].to_numpy()[first]))
+    out: list[tuple[int | None, int | None, bool]] = []
     best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     for i in np.flatnonzero(~main):
         others = np.flatnonzero((label != label[i]) & (main | (np.arange(len(c)) > i)))
@@ -293,22 +299,45 @@ def _may_link(tile: pd.DataFrame, measure: Measure, portion: int) -> list[tuple[
             continue
         unequal = np.bitwise_count(words[others] ^ words[i]).sum(axis=1, dtype=np.int64)
         near = unequal <= measure.differ(size[others], size[i])
-        for j, d in zip(others[near], unequal[near], strict=True):
-            two = (min(label[i], label[j]), max(label[i], label[j]))
-            best.setdefault(two, []).append((int(d), int(min(c[i], c[j])), int(max(c[i], c[j]))))
-    return [(a, b, len(found) > portion) for found in best.values() for _, a, b in sorted(found)[:portion]]
+        others, unequal = others[near], unequal[near]
+        if portion:
+            for j, d in zip(others, unequal, strict=True):
+                two = (min(label[i], label[j]), max(label[i], label[j]))
+                best.setdefault(two, []).append((int(d), int(min(c[i], c[j])), int(max(c[i], c[j]))))
+            continue
+        order = np.argsort(unequal, kind="stable")
+        joined, one = np.unique(label[others[order]], return_index=True)
+        out += [(int(min(c[i], c[j])), int(max(c[i], c[j])), False) for j in others[order[one]]]
+        label[np.isin(label, joined)] = label[i]
+    out += [(a, b, False) for found in best.values() for _, a, b in sorted(found)[:portion]]
+    more = bool(out) if not portion else any(len(found) > portion for found in best.values())
+    return [*out, (None, None, True)] if more else out
 
 
 def _tiled(rows: DataFrame, measure: Measure, portion: int) -> DataFrame:
-    """What _may_link gives for each tile of rows (key, tile, main, c, label, n, bits)."""
-    dealt = rows.repartition("key", "tile").sortWithinPartitions("key", "tile")
+    """What _may_link gives for each tile of rows (about, salt, key, tile, main, c, label, n, bits).
+
+    Two sets meet in many tiles. Tiles about one component go to one task, or to
+    few by the salt, which passes on a pair once.
+    """
+    dealt = rows.repartition("about", "salt").sortWithinPartitions("about", "salt", "key", "tile")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
+        seen: set[tuple[int | None, int | None]] = set()
+
+        def fresh(a: int | None, b: int | None) -> bool:
+            if (a, b) in seen:
+                return False
+            if len(seen) >= MAX_SEEN:
+                seen.clear()
+            seen.add((a, b))
+            return True
 
         def done(part: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
             out = [x for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1 for x in _may_link(part.iloc[a:b], measure, portion)]
-            return pd.DataFrame(out, columns=["a", "b", "more"])
+            out = [x for x in out if fresh(x[0], x[1])]
+            return pd.DataFrame(out, columns=["a", "b", "more"]).astype({"a": "Int64", "b": "Int64"})
 
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
@@ -339,22 +368,25 @@ def join(
     first = votes.groupBy("c").agg(F.max_by("lead", F.struct("v", -F.col("lead"))).alias("lead")).select(F.col("c").alias("a"), F.col("lead").alias("b"))
     links = written(verified(_bounded(first, classes, measure), classes, df, measure, text_col, id_col), "jaccard-links")
     labels = components(links)
-    portion, done = FIRST_PORTION, False
+    portion, done = 0, False
     while not done:
         rows = _label(grouped, labels, "c", "label")
         sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
         sizes = sizes.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("n_all"), F.count(F.lit(1)).alias("n_labels"))
         left = sizes.where("n_labels > 1").drop("n_labels")
+        loads = left.groupBy("main").agg(F.ceil(F.sum("n_all") / TASK_ROWS).alias("spread"))
+        left = left.join(loads, "main")
         rows = rows.join(left, "key").withColumn("tiles", F.ceil(F.col("n_all") / TILE).cast("int"))
         is_main = F.col("label") == F.col("main")
         dealt = F.when(is_main, F.array(F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))
-        rows = rows.select("key", "c", "label", is_main.alias("main"), F.explode(dealt).alias("tile"))
+        rows = rows.select("key", "c", "label", is_main.alias("main"), F.col("main").alias("about"), "spread", F.explode(dealt).alias("tile"))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("key", "tile"), F.col("spread"))).drop("spread")
         rows = rows.join(classes.select("c", "n", "bits"), "c")
         tiled = written(_tiled(rows, measure, portion), "jaccard-tiled")
-        pairs = tiled.select("a", "b").distinct()
+        pairs = tiled.where("a is not null").select("a", "b").distinct()
         new = written(verified(pairs, classes, df, measure, text_col, id_col), "jaccard-links")
         done = not tiled.where("more").limit(1).count()
-        portion *= 16
+        portion = 16 * portion or FIRST_PORTION
         if new.limit(1).count():
             links = written(links.union(new).distinct(), "jaccard-links")
             labels = components(links)
