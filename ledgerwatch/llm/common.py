@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,5 +84,9 @@ def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     if free:
-        jvm.System.gc()
+        # Python's handles on the JVM's plans are given back by a thread that looks once a second.
+        for _ in range(2):
+            gc.collect()
+            time.sleep(1)
+            jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

@@ -239,7 +239,7 @@ def verified(pairs: DataFrame, classes: DataFrame, df: DataFrame, measure: Measu
             yield pd.DataFrame({"c": pdf["c"].iloc[right].to_numpy(), "s": [made[i].view(np.int64) for i in right]})
 
     arrays = rows.mapInPandas(sets, "c long, s array<long>").dropDuplicates(["c"])
-    arrays = written(arrays, "jaccard-sets")
+    arrays = written(arrays, "jaccard-sets", free=True)
     both = pairs.join(arrays.withColumnsRenamed({"c": "a", "s": "sa"}), "a").join(arrays.withColumnsRenamed({"c": "b", "s": "sb"}), "b")
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -361,8 +361,8 @@ def join(
     classes = written(some.groupBy("c").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-classes")
     met = some.select("c", F.explode("keys").alias("key"))
     # Groups of one class go at once: most keys, and all that only copies share.
-    groups = written(met.groupBy("key").agg(F.min("c").alias("lead"), F.max("c").alias("last")).where("lead < last").select("key", "lead"), "jaccard-groups")
-    grouped = written(met.join(groups, "key").select("key", "c", "lead").distinct(), "jaccard-grouped")
+    groups = written(met.groupBy("key").agg(F.min("c").alias("lead"), F.max("c").alias("last")).where("lead < last").select("key", "lead"), "jaccard-groups", free=True)
+    grouped = written(met.join(groups, "key").select("key", "c", "lead").distinct(), "jaccard-grouped", free=True)
     # A set's leader is the one of most of its groups.
     votes = grouped.where("c <> lead").groupBy("c", "lead").agg(F.count(F.lit(1)).alias("v"))
     first = votes.groupBy("c").agg(F.max_by("lead", F.struct("v", -F.col("lead"))).alias("lead")).select(F.col("c").alias("a"), F.col("lead").alias("b"))
