@@ -38,7 +38,7 @@ BUCKET_ROWS = 10_000
 #: Sources are held on the driver; more are refused.
 MAX_SOURCES = 10_000
 #: Slots that a task is meant to spread.
-SLOTS_PER_TASK = 250_000
+SLOTS_PER_TASK = 50_000
 #: Rounds of the permutation.
 ROUNDS = 24
 
@@ -196,7 +196,8 @@ def mix(
     end = F.least(F.col("__at") + F.col("size"), (F.col("block") + 1) * BLOCK)
     cut = cut.withColumn("words", end - F.greatest(F.col("__at"), F.col("block") * BLOCK))
     uses = uses.withColumnsRenamed({"s": "__s"})
-    got = cut.join(uses, ["__s", "block"]).groupBy("__s", "__at").agg(F.sum(F.col("uses") * F.col("words")).alias("taken"))
+    # Spark takes the slots for as few as the shards they come from, and would broadcast them.
+    got = cut.join(uses.hint("merge"), ["__s", "block"]).groupBy("__s", "__at").agg(F.sum(F.col("uses") * F.col("words")).alias("taken"))
     # Documents of size 0 share places with others, so they join nothing.
     key = F.when(F.col("size") > 0, F.col("__at"))
     got = got.select(F.col("__s").alias("__gs"), F.col("__at").alias("__gat"), "taken")
