@@ -32,15 +32,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the least id (of equal rows, any one).
+    """One row of each group of near copies: one of the least id, null ids last; texts without words all stay.
 
-    The texts move once at most: ids that go are few beside all, and are broadcast while
-    they are.
+    A row is known by the hash of its id and text; of rows equal in both, any one stays.
+    The texts move once at most: rows that go are few beside all, and their hashes are
+    broadcast while they are.
     """
-    groups = jaccard_join.join(docs, NEAR)
-    gone = written(groups.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct(), "pipeline-copies")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(side, "doc_id", "left_anti").select(*docs.columns)
+    row = F.xxhash64("doc_id", "text")
+    found = jaccard_join.join(docs.withColumn("__row", row), NEAR, id_col="__row").where("n_shingles > 0")
+    # Ids of rows are unique and never null, so component_id names one component.
+    found = found.groupBy("__row").agg(F.first("component_id").alias("group"), F.count(F.lit(1)).alias("n"))
+    ids = docs.select("doc_id", row.alias("__row")).distinct()
+    found = written(found.join(ids, "__row"), "pipeline-rows")
+    least = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("stays"), F.sum("n").alias("rows"))
+    rows = found.join(least.where("rows > 1"), "group").select("__row", (F.col("__row") == F.col("stays")).alias("stays"), "n")
+    marked = written(rows.where("not stays or n > 1").select("__row", "stays"), "pipeline-copies")
+    side = F.broadcast(marked) if marked.count() <= BROADCAST_ROWS else marked
+    keyed = docs.withColumn("__row", row)
+    out = keyed.join(side, "__row", "left_anti")
+    if marked.where("stays").limit(1).count():
+        out = out.unionByName(keyed.join(side.where("stays"), "__row", "left_semi").dropDuplicates(["__row"]))
+    return out.select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,3 +39,20 @@ def test_stages_take_odd_rows(spark, odd):
         assert stage(spark, docs, SMALL).columns == docs.columns
     kept = corpus_pipeline.without_secrets(spark, docs.withColumn("text", F.when(F.col("doc_id") == 5, "é password=abcdefgh é").otherwise(F.col("text"))), SMALL)
     assert kept.count() == odd.count() and kept.where("text = 'é <assign> é'").count() == 1
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def rows_of(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+
+def test_one_row_of_each_group_of_copies_stays(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(12)) for k in "abcd")
+    texts = [(5, a), (7, a), (7, b), (8, c), (8, c), (8, c), (None, d), (None, d), (9, ""), (9, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], ODD)
+    want = [(5, a), (7, b), (8, c), (None, d), (9, ""), (9, ""), (None, None)]
+    assert rows_of(corpus_pipeline.near_copies(spark, docs, SMALL)) == sorted(want, key=repr)
+    null_copy = spark.createDataFrame([(None, a, "en", "s", 1), (6, a, "en", "t", 1), (6, a, "en", "s", 1)], ODD)
+    assert rows_of(corpus_pipeline.near_copies(spark, null_copy, SMALL)) == [(6, a)]
