@@ -70,16 +70,20 @@ def _sided(df: DataFrame, rows: int) -> DataFrame:
 
 def leaks(
     docs: DataFrame, bench: DataFrame, n: int = 5, num: int = 80, den: int = 100,
-    doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text",
+    doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", text_hash: str | None = None,
 ) -> DataFrame:
-    """doc_id, item_id, n_shingles (distinct ones of the item), n_shared and containment of each pair from num/den on."""
+    """doc_id, item_id, n_shingles (distinct ones of the item), n_shared and containment of each pair from num/den on.
+
+    With text_hash, a column of that name has the hash of the document's text, for without_leaks.
+    """
     items = written(items_of(bench, n, item_id, text_col), "leak-items")
     n_items = items.count()
     widths = [r[0] for r in items.select("width").distinct().orderBy("width").collect()]  # n at most
     text = F.col(f"`{text_col}`")
     if not widths:
         kinds = (docs.schema[doc_id].dataType.simpleString(), bench.schema[item_id].dataType.simpleString())
-        return docs.sparkSession.createDataFrame([], f"`{doc_id}` {kinds[0]}, `{item_id}` {kinds[1]}, n_shingles long, n_shared long, containment double")
+        hashed = f", `{text_hash}` long" if text_hash else ""
+        return docs.sparkSession.createDataFrame([], f"`{doc_id}` {kinds[0]}, `{item_id}` {kinds[1]}, n_shingles long, n_shared long, containment double{hashed}")
     sketch = written(sketches(items, num, den), "leak-sketches")
     base = docs.select(F.col(f"`{doc_id}`").alias("d"), F.xxhash64(text).alias("t"), words(ascii_lower(text)).alias("w"))
     hashes = F.concat(*[_hashes("w", k) for k in widths])
@@ -99,7 +103,7 @@ def leaks(
     kept = both.where(F.col("n_shared") * den >= F.col("n_shingles") * num).distinct()
     return kept.select(
         F.col("d").alias(doc_id), F.col("id").alias(item_id), "n_shingles", "n_shared",
-        F.round(F.col("n_shared") / F.col("n_shingles"), 6).alias("containment"),
+        F.round(F.col("n_shared") / F.col("n_shingles"), 6).alias("containment"), *([F.col("t").alias(text_hash)] if text_hash else []),
     )
 
 
@@ -108,7 +112,8 @@ def _texts(w: str, width: int) -> Column:
     return F.when(F.size(w) >= width, runs).otherwise(F.array().cast("array<string>"))
 
 
-def without_leaks(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is in no leak; rows with a null id stay."""
-    ids = written(found.select(doc_id).distinct(), "leak-ids")
-    return docs.join(_sided(ids, ids.count()), doc_id, "left_anti")
+def without_leaks(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text_col: str = "text", text_hash: str = "__text") -> DataFrame:
+    """The rows of docs whose id and text are in no leak; found comes from leaks with text_hash. Null ids are ids like others."""
+    gone = written(found.select(F.col(f"`{doc_id}`").alias("__d"), F.col(f"`{text_hash}`").alias("__t")).distinct(), "leak-ids")
+    same = docs[doc_id].eqNullSafe(F.col("__d")) & (F.xxhash64(docs[text_col]) == F.col("__t"))
+    return docs.join(_sided(gone, gone.count()), same, "left_anti")

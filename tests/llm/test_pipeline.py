@@ -56,3 +56,10 @@ def test_one_row_of_each_group_of_copies_stays(spark):
     assert rows_of(corpus_pipeline.near_copies(spark, docs, SMALL)) == sorted(want, key=repr)
     null_copy = spark.createDataFrame([(None, a, "en", "s", 1), (6, a, "en", "t", 1), (6, a, "en", "s", 1)], ODD)
     assert rows_of(corpus_pipeline.near_copies(spark, null_copy, SMALL)) == [(6, a)]
+
+
+def test_leaks_go_by_id_and_text(spark):
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").where("length(text) > 60").orderBy("item_id").first()["text"]
+    clean = " ".join(f"clean{i}" for i in range(12))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [(None, item), (None, clean), (3, item), (3, clean), (4, None)]], ODD)
+    assert rows_of(corpus_pipeline.decontaminated(spark, docs, SMALL)) == sorted([(None, clean), (3, clean), (4, None)], key=repr)
