@@ -8,6 +8,8 @@ to AQE's skew splitting.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,16 +148,16 @@ def simple_paths(edges: DataFrame, start: int, end: int, max_hops: int) -> DataF
     return out
 
 
-def shortest_path(edges: DataFrame, start: int, end: int, max_hops: int = 10) -> DataFrame:
-    """path: of the shortest paths the one of the least nodes in order; no row where there is none.
+def shortest_path(edges: DataFrame, start: int, end: int, max_hops: int | None = None) -> DataFrame:
+    """path: of the shortest paths the one of the least nodes in order; no row where there is none (of max_hops edges, if given).
 
     Each round keeps one path for each node, so the front is never larger than the graph.
     """
-    pairs = undirected(edges)
+    pairs = _cut(undirected(edges), CUT_EVERY)
     seen = pairs.sparkSession.createDataFrame([(start, [start])], "node long, path array<long>")
     front = seen
-    for h in range(1, max_hops + 1):
-        if seen.where(F.col("node") == end).limit(1).count():
+    for h in count(1):
+        if (max_hops is not None and h > max_hops) or seen.where(F.col("node") == end).limit(1).count():
             break
         grown = front.withColumnRenamed("node", "a").join(pairs, "a").select(F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"))
         front = grown.groupBy("node").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti")

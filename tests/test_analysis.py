@@ -50,6 +50,12 @@ def test_paths(spark):
     assert {r["node"]: r["component"] for r in graph.connected(e).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7}
 
 
+def test_shortest_path_has_no_cutoff(spark):
+    chain = edges(spark, [(i, i + 1) for i in range(12)])
+    assert graph.shortest_path(chain, 0, 12).first()["path"] == list(range(13))
+    assert graph.shortest_path(chain, 0, 12, max_hops=11).count() == 0 and graph.shortest_path(chain, 0, 99).count() == 0
+
+
 def test_communities(spark):
     clique = lambda ns: [(a, b) for a in ns for b in ns if a < b]
     e = edges(spark, clique(range(5)) + clique(range(10, 15)) + [(4, 10)])
