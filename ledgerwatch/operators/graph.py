@@ -168,14 +168,32 @@ def shortest_path(edges: DataFrame, start: int, end: int, max_hops: int | None =
     return seen.where(F.col("node") == end).select("path")
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """node and community: each round, the most frequent label among neighbours, of equal ones the least."""
-    pairs = undirected(edges)
+def _may_move(source: str, target: str, round_: int) -> Column:
+    """Labels are in one of two halves, drawn anew each round: moves go from the first to the second alone.
+
+    So no node goes to a label that another one leaves in the same round.
+    """
+    half = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(round_)), F.lit(2))
+    return (half(source) == 0) & (half(target) == 1)
+
+
+def label_propagation(edges: DataFrame) -> DataFrame:
+    """node and community, where each node has a most frequent label among its neighbours: of equal ones its own, else the least.
+
+    Rounds go on until no node wants another label. As nodes move between the halves of
+    _may_move, each round with a move has more edges inside labels than the one before, so
+    rounds can't go in circles.
+    """
+    pairs = _cut(undirected(edges), CUT_EVERY)
     labels = pairs.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
-    for r in range(1, rounds + 1):
+    for r in count(1):
         votes = pairs.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.count(F.lit(1)).alias("n"))
-        labels = _cut(votes.groupBy("node").agg(F.max_by("community", F.struct("n", -F.col("community"))).alias("community")), r)
-    return labels
+        votes = votes.join(labels.withColumnRenamed("community", "own"), "node")
+        wishes = votes.groupBy("node", "own").agg(F.max_by("community", F.struct("n", F.col("community") == F.col("own"), -F.col("community"))).alias("wish"))
+        wishes = _cut(wishes, CUT_EVERY)
+        if not wishes.where("wish <> own").limit(1).count():
+            return wishes.select("node", F.col("own").alias("community"))
+        labels = wishes.select("node", F.when(_may_move("own", "wish", r), F.col("wish")).otherwise(F.col("own")).alias("community"))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -196,8 +214,8 @@ def connected(edges: DataFrame) -> DataFrame:
 def louvain(edges: DataFrame, seed: int = 42, max_component: int = 200_000) -> DataFrame:
     """node and community by modularity, unweighted; each connected component by itself.
 
-    A component of over max_component nodes doesn't fit one task; its communities
-    come from label propagation.
+    A component of over max_component nodes doesn't fit one task; its nodes are moved
+    and its communities contracted by joins.
     """
     import pandas as pd
 
@@ -212,8 +230,72 @@ def louvain(edges: DataFrame, seed: int = 42, max_component: int = 200_000) -> D
         return pd.DataFrame({"node": list(found), "community": list(found.values())})
 
     out = small.groupBy("component").applyInPandas(run, "node long, community long")
-    rest = pairs.join(large, "component", "left_semi").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    return out.unionByName(label_propagation(rest))
+    rest = pairs.join(large, "component", "left_semi").select("component", "a", "b")
+    return out.unionByName(_louvain_spread(rest)) if large.limit(1).count() else out
+
+
+def _louvain_spread(pairs: DataFrame) -> DataFrame:
+    """node and community, named by its least node, for components too large for a task; pairs has component, a < b."""
+    one = F.lit(1.0).alias("w")
+    graph = _cut(pairs.select("component", "a", "b", one).union(pairs.select("component", "b", "a", one)), CUT_EVERY)
+    total = _cut(graph.groupBy("component").agg(F.sum("w").alias("total")), CUT_EVERY)
+    member = graph.select(F.col("a").alias("node")).distinct().withColumn("at", F.col("node"))
+    while True:
+        labels, moved = _moved(graph, total)
+        if not moved:
+            break
+        member = _cut(member.join(labels.select(F.col("node").alias("at"), "own"), "at").select("node", F.col("own").alias("at")), CUT_EVERY)
+        a, b = (labels.select(F.col("node").alias(x), F.col("own").alias(f"{x}_at")) for x in "ab")
+        graph = graph.join(a, "a").join(b, "b").groupBy("component", F.col("a_at").alias("a"), F.col("b_at").alias("b")).agg(F.sum("w").alias("w"))
+        graph = _cut(graph, CUT_EVERY)
+    least = member.groupBy("at").agg(F.min("node").alias("community"))
+    return member.join(least, "at").select("node", "community")
+
+
+def _moved(graph: DataFrame, total: DataFrame) -> tuple[DataFrame, bool]:
+    """node and own (its community) once no node gains by moving, and whether any has moved.
+
+    All moves that _may_move allows are made together where that raises the modularity. Else
+    only one from and one to each community: those don't touch each other's gains, so
+    the modularity rises with every round, and rounds end.
+    """
+    base = graph.groupBy("component", F.col("a").alias("node")).agg(F.sum("w").alias("deg")).join(total, "component")
+    labels = _cut(base.select("node", F.col("node").alias("own"), "deg", "total"), CUT_EVERY)
+    value, moved = _modularity(graph, labels), False
+    for r in count(1):
+        near = graph.where("a <> b").join(labels.select(F.col("node").alias("b"), F.col("own").alias("to")), "b").select(F.col("a").alias("node"), "to", "w")
+        near = near.union(labels.select("node", F.col("own").alias("to"), F.lit(0.0).alias("w"))).groupBy("node", "to").agg(F.sum("w").alias("w"))
+        sums = labels.groupBy(F.col("own").alias("to")).agg(F.sum("deg").alias("sum"))
+        here = F.col("to") == F.col("own")
+        gain = F.col("w") - (F.col("sum") - F.when(here, F.col("deg")).otherwise(0.0)) * F.col("deg") / F.col("total")
+        gains = near.join(sums, "to").join(labels, "node").withColumn("gain", gain)
+        wishes = gains.groupBy("node", "own", "deg", "total").agg(
+            F.max_by("to", F.struct("gain", -F.col("to"))).alias("wish"), (F.max("gain") - F.max(F.when(here, F.col("gain")))).alias("more")
+        )
+        wishes = _cut(wishes.withColumn("wish", F.when(F.col("more") > 1e-9, F.col("wish")).otherwise(F.col("own"))), CUT_EVERY)
+        if not wishes.where("wish <> own").limit(1).count():
+            return labels, moved
+        may = _may_move("own", "wish", r)
+        if not wishes.where(may).limit(1).count():
+            continue
+        after = _cut(wishes.select("node", F.when(may, F.col("wish")).otherwise(F.col("own")).alias("own"), "deg", "total"), CUT_EVERY)
+        now = _modularity(graph, after)
+        if now <= value + 1e-12:
+            first = lambda df, by: df.groupBy(by).agg(F.max_by(F.struct("node", "own", "wish", "more"), F.struct("more", -F.col("node"))).alias("m")).select("m.*")
+            chosen = first(first(wishes.where(may), "wish"), "own").select("node", F.col("wish").alias("goes"))
+            after = wishes.join(chosen, "node", "left").select("node", F.coalesce("goes", "own").alias("own"), "deg", "total")
+            after = _cut(after, CUT_EVERY)
+            now = _modularity(graph, after)
+        labels, value, moved = after, now, True
+
+
+def _modularity(graph: DataFrame, labels: DataFrame) -> float:
+    """The sum of the components' modularities."""
+    a = labels.select(F.col("node").alias("a"), F.col("own").alias("a_at"), "total")
+    b = labels.select(F.col("node").alias("b"), F.col("own").alias("b_at"))
+    inside = graph.join(a, "a").join(b, "b").where("a_at = b_at").agg(F.sum(F.col("w") / F.col("total"))).first()[0]
+    spread = labels.groupBy("own").agg((F.sum("deg") / F.first("total")).alias("share")).agg(F.sum(F.col("share") * F.col("share"))).first()[0]
+    return (inside or 0.0) - spread
 
 
 def _louvain_local(pairs: list[tuple[int, int]], seed: int) -> dict[int, int]:

@@ -219,7 +219,7 @@ def money_flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.label_propagation(graph.projection(_supply_edges(spark, sf_dir)).select("src", "dst"), 3)
+    return graph.label_propagation(graph.projection(_supply_edges(spark, sf_dir)).select("src", "dst"))
 
 
 def louvain_communities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,24 @@ def test_communities(spark):
         assert len({out[n] for n in range(4)}) == 1 and len({out[n] for n in range(11, 15)}) == 1 and out[0] != out[14]
 
 
+def test_communities_are_stable(spark):
+    sides = [(a, b) for a in (20, 21, 22) for b in (30, 31, 32)]
+    pairs = [(1, 2), (3, 4), *sides, *[(i, i + 1) for i in range(40, 52)]]
+    out = {r["node"]: r["community"] for r in graph.label_propagation(edges(spark, pairs)).collect()}
+    assert out[1] == out[2] and out[3] == out[4] and out[1] != out[3] and len({out[n] for p in sides for n in p}) == 1
+    for n in out:
+        near = [out[b if a == n else a] for a, b in pairs if n in (a, b)]
+        assert near.count(out[n]) == max(near.count(x) for x in near)
+
+
+def test_large_components_by_modularity(spark):
+    clique = lambda ns: [(a, b) for a in ns for b in ns if a < b]
+    e = edges(spark, [(1, 2), *clique(range(10, 14)), *clique(range(20, 24)), *clique(range(30, 34)), (13, 20), (23, 30), (33, 10)])
+    want = {1: 1, 2: 1} | {n: n // 10 * 10 for k in (10, 20, 30) for n in range(k, k + 4)}
+    for most in (1, 200_000):
+        assert {r["node"]: r["community"] for r in graph.louvain(e, max_component=most).collect()} == want
+
+
 def test_flow(spark):
     t = spark.createDataFrame(
         [(1, "acc-2", 10.0, "out", T0), (1, "acc-2", 5.0, "out", T0), (2, "ACC-3", 7.0, "out", T0), (3, "acc-1", 1.0, "out", T0), (1, "nowhere", 2.0, "out", T0), (1, "acc-3", 9.0, "in", T0)],
