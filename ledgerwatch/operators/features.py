@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerwatch.operators import tuning
+from ledgerwatch.sources.shared import ready_to_checkpoint
+
 NAMES = ("amount_zscore", "velocity_1h", "velocity_24h", "counterparty_diversity", "country_diversity", "time_of_day_sin", "time_of_day_cos")
 
 
@@ -139,28 +142,47 @@ class IsolationForest:
         return out
 
 
-#: Rows of the training sample, those of the least hash of their id.
+#: Rows from which trees draw theirs, those of the least hash of their id.
 TRAIN_ROWS = 20_000
 
 
 def train_forest(features: DataFrame, **options) -> tuple[IsolationForest, str]:
-    """A forest over at most TRAIN_ROWS rows, and the hash of those rows."""
+    """A forest whose trees draw from at most TRAIN_ROWS rows, its offset over all rows, and the hash of the rows drawn from."""
     rows = features.orderBy(F.xxhash64("transaction_id"), "transaction_id").limit(TRAIN_ROWS).toPandas()
     x = rows[list(NAMES)].to_numpy(dtype="float64")
-    return IsolationForest(**options).fit(x), hashlib.sha256(x.tobytes()).hexdigest()
+    forest = IsolationForest(**options).fit(x)
+    ready_to_checkpoint(features.sparkSession)
+    scores = _by_forest(features, forest, "score").select("score").checkpoint()
+    forest.offset = _quantile(scores, "score", forest.contamination)
+    return forest, hashlib.sha256(x.tobytes()).hexdigest()
 
 
-def anomaly_scores(features: DataFrame, forest: IsolationForest) -> DataFrame:
-    """transaction_id, account_id and anomaly_score."""
+def _quantile(values: DataFrame, col: str, p: float) -> float:
+    """Exact, between the two nearest elements in proportion, as numpy's."""
+    n = values.count()
+    low = int(p * (n - 1))
+    at = lambda k: tuning.percentile(values, col, (min(k, n - 1) + 0.5) / n).first()["value"]
+    a, b = at(low), at(low + 1)
+    return a + (b - a) * (p * (n - 1) - low)
+
+
+def _by_forest(features: DataFrame, forest: IsolationForest, method: str) -> DataFrame:
+    """transaction_id, account_id and what the forest's method gives, in a column of its name."""
     sent = features.sparkSession.sparkContext.broadcast(forest.to_json())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = IsolationForest.from_json(sent.value)
         for pdf in batches:
             if len(pdf):
-                yield pdf[["transaction_id", "account_id"]].assign(anomaly_score=model.anomaly(pdf[list(NAMES)].to_numpy(dtype="float64")))
+                values = getattr(model, method)(pdf[list(NAMES)].to_numpy(dtype="float64"))
+                yield pdf[["transaction_id", "account_id"]].assign(**{method: values})
 
-    return features.mapInPandas(run, "transaction_id long, account_id long, anomaly_score double")
+    return features.mapInPandas(run, f"transaction_id long, account_id long, {method} double")
+
+
+def anomaly_scores(features: DataFrame, forest: IsolationForest) -> DataFrame:
+    """transaction_id, account_id and anomaly_score."""
+    return _by_forest(features, forest, "anomaly").withColumnRenamed("anomaly", "anomaly_score")
 
 
 def anomaly_hits(scores: DataFrame, threshold: float, severity: str = "medium", delta: float = 20.0) -> DataFrame:

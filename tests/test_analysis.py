@@ -102,6 +102,17 @@ def test_forest_finds_outliers():
     assert np.allclose(features.IsolationForest.from_json(f.to_json()).anomaly(x), s)
 
 
+def test_offset_comes_from_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(features, "TRAIN_ROWS", 40)
+    x = np.random.default_rng(3).normal(size=(702, len(features.NAMES)))
+    rows = [(i, i % 9, *map(float, r)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "transaction_id long, account_id long, " + ", ".join(f"{c} double" for c in features.NAMES))
+    forest, _ = features.train_forest(df)
+    assert forest.offset == pytest.approx(np.quantile(forest.score(x), 0.05), abs=1e-12)
+    out = features.anomaly_scores(df, forest).orderBy("transaction_id").toPandas()["anomaly_score"]
+    assert np.allclose(out, forest.anomaly(x)) and (out > 0.5).sum() == 36
+
+
 def test_percentile_is_the_floor_index(spark):
     df = spark.range(1, 101).select(F.col("id").cast("double").alias("v"))
     for p, want in ((0.99, 100.0), (0.5, 51.0), (1.0, 100.0), (0.0, 1.0)):
