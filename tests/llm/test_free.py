@@ -1,5 +1,6 @@
 """Chat formatting, quality network, WARC audit, token counts and the Jaccard join."""
 
+import hashlib
 import random
 import zlib
 
@@ -23,13 +24,55 @@ def test_escape_round_trip():
         assert [(a, b) for a, b, _, _ in chat_format.parsed(chat_format.marked(turns))] == turns
 
 
+def cut(x, template):
+    return [(r, template.unescape(x.output[a:b])) for r, (a, b) in zip(x.roles, x.texts, strict=True)]
+
+
+def bracketed(turns):
+    """A second template, which parsed() can't read: a preamble, headers of one character, counted turns, doubled slashes."""
+    return "#" + "".join(f"{r[:1].upper()}{i % 2}>{t.replace('/', '//')}/;" for i, (r, t) in enumerate(turns))
+
+
 def test_rendering_finds_spans_and_rewrites():
-    turns = [("user", f"t{i}" * (i + 1)) for i in range(9)]
-    out, spans, rewrites = chat_format.rendered(turns, chat_format.marked)
-    assert not rewrites and "".join(out[a:b] for a, b in spans) == out
-    assert chat_format.rendered(turns, chat_format.marked, budget=20) == (out, spans, [])
-    forgetful = lambda ts: "".join(f"[{r}]{t if i >= len(ts) - 2 else ''}" for i, (r, t) in enumerate(ts))
-    assert chat_format.rendered(turns, forgetful)[2] and chat_format.rendered(turns, forgetful, budget=20)[2]
+    r = random.Random(4)
+    bits = ["<", "|im_end|>", "<|im_end|>", "0", "1", "/", "/;", "\\", "\n", "a", "[INST]", "A>", "U0>", "é😀"]
+    black = chat_format.Template(bracketed, lambda t: t.replace("//", "/"))
+    for _ in range(150):
+        turns = [(r.choice(["user", "assistant", "system"]), "".join(r.choice(bits) for _ in range(r.randint(0, 6)))) for _ in range(r.randint(0, 9))]
+        for template in (chat_format.MARKED, black):
+            x = chat_format.rendered(turns, template)
+            assert not x.rewrites and "".join(x.output[a:b] for a, b in x.spans) == x.output[len(template.render([])) :]
+            assert cut(x, template) == turns
+    assert [(a, b) for a, b, *_ in chat_format.parsed(chat_format.rendered(turns).output)] == turns
+
+
+def test_rewritten_history_is_found_at_any_depth():
+    turns = [("user", f"t{i}" * (i + 1)) for i in range(40)]
+    forgetful = chat_format.Template(lambda ts: "".join(f"[{r}]{t if i >= len(ts) - 2 else ''}" for i, (r, t) in enumerate(ts)))
+    x = chat_format.rendered(turns, forgetful)
+    assert x.rewrites == list(range(2, 40)) and x.texts[:38] == [(-1, -1)] * 38 and cut(x, forgetful)[38:] == turns[38:]
+    # The thirtieth turn alone changes the first one.
+    late = chat_format.Template(lambda ts: "".join(f"[{r}]{'-' if len(ts) >= 30 and not i else t}" for i, (r, t) in enumerate(ts)))
+    x = chat_format.rendered(turns, late)
+    assert x.rewrites == [29] and x.texts[0] == (-1, -1) and cut(x, late)[1:] == turns[1:]
+
+
+def test_a_long_conversation_is_rendered_whole():
+    """More output by prefixes than the 32 million characters at which it once changed its way."""
+    turns = [(("user", "assistant")[i % 2], f"{i} " * 60 + "<s>") for i in range(800)]
+    x = chat_format.rendered(turns)
+    assert sum(b for _, b in x.spans) > 32_000_000 and not x.rewrites and cut(x, chat_format.MARKED) == turns
+
+
+def test_loss_is_cut_from_spans(spark):
+    rows = [(7, i, ("user", "assistant")[i % 2], f"a/{i}/;") for i in range(6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    # Workers have no tests to import, so the template goes by value.
+    template = chat_format.Template(lambda ts: "#" + "".join(f"{r[:1].upper()}{i % 2}>{t.replace('/', '//')}/;" for i, (r, t) in enumerate(ts)), lambda t: t.replace("//", "/"))
+    out = chat_format.loss_digest(chat_format.format_chats(df, template), unescape=template.unescape).first()
+    want = "".join(t for *_, r, t in rows if r == "assistant")
+    assert out["loss_chars"] == len(want) and out["loss_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+    assert out["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for *_, r, t in rows).encode()).hexdigest()
 
 
 def test_chats_odd(spark):
@@ -172,3 +215,49 @@ def test_join_odd(spark, odd, none):
     out = jaccard_join.join(odd, m).collect()
     assert len(out) == odd.count() and jaccard_join.join(none, m).count() == 0
     assert {r["component_id"] for r in out if r["doc_id"] == 3} == {3} and all(r["n_shingles"] == 0 for r in out if r["doc_id"] in (None, 1, 2))
+
+
+def rows_brute(rows, n, num, den):
+    """(id, text, n_shingles, component_id) of rows that may share ids."""
+    found = brute(list(enumerate(t for _, t in rows)), n, num, den)
+    ids = {}
+    for k, (i, _) in enumerate(rows):
+        ids.setdefault(found[k][1], []).append(i)
+    least = {r: min((i for i in v if i is not None), default=None) for r, v in ids.items()}
+    return sorted(((i, found[k][0], least[found[k][1]] if found[k][0] else i) for k, (i, _) in enumerate(rows)), key=repr)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_join_with_null_and_repeated_ids(spark, kind):
+    r = random.Random(5)
+    vocab = [f"v{i}" for i in range(300)]
+    base = [[r.choice(vocab) for _ in range(60)] for _ in range(8)]
+    rows = []
+    for k in range(90):
+        w = list(base[k % 8])
+        for _ in range(k % 4):
+            w[r.randrange(60)] = r.choice(vocab)
+        i = None if k % 5 == 0 else (k * 7) % 23
+        rows.append((i if i is None or kind == "long" else f"id{i}", " ".join(w) if k % 30 else ("" if k else None)))
+    rows += [(None, " ".join(base[0])), (None, " ".join(base[1])), rows[7], rows[7]]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string").selectExpr("*", "1 AS n", "2 AS c", "3 AS keys", "4 AS component_id", "5 AS t")
+    out = jaccard_join.join(df, jaccard_join.Measure(4, 85, 100)).collect()
+    assert sorted((tuple(x) for x in out), key=repr) == rows_brute(rows, 4, 85, 100)
+
+
+def test_join_where_one_id_has_near_copies(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    b = " ".join(f"b{i}" for i in range(40))
+    for rows in ([(1, a), (2, a + " x"), (2, b), (3, "c")], [(None, a), (None, a + " x"), (None, b), (None, b + " y")]):
+        out = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), jaccard_join.Measure(4, 85, 100)).collect()
+        assert sorted((tuple(x) for x in out), key=repr) == rows_brute(rows, 4, 85, 100)
+
+
+def test_join_of_one_hot_key(spark, monkeypatch):
+    """Many sets that share one part of their hash range and don't link: more rows of tiles than a task is meant to have."""
+    monkeypatch.setattr(jaccard_join, "TILE", 16)
+    monkeypatch.setattr(jaccard_join, "TASK_ROWS", 50)
+    common = [f"c{i}" for i in range(30)]
+    docs = [(i, " ".join([*common, *(f"u{i}-{k}" for k in range(i % 12))])) for i in range(150)]
+    out = jaccard_join.join(spark.createDataFrame(docs, "doc_id long, text string"), jaccard_join.Measure(4, 85, 100)).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in out} == brute(docs, 4, 85, 100)
