@@ -40,7 +40,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = secret_scan.find(docs, keep=["doc_id"], repo_col="source", owner_col="source")
+    out = secret_scan.find(docs, keep=["doc_id"], repo_col="source")
     of = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("bigint")
     return out.select(
         "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
@@ -123,13 +123,14 @@ def _sql_text(x: str) -> str:
 
 
 _OP3_SQL = rf"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t,
+  coalesce(nullif(regexp_extract(coalesce(text, ''), '{secret_scan.EMAIL}'), ''), coalesce(source, '')) AS owner FROM documents),
 p(k, p) AS (VALUES (0, {_sql_text(secret_scan.ASSIGN)}), (1, '{secret_scan.ACCESS}'), (2, '{secret_scan.HEX}'),
   (3, '[A-Za-z0-9+/_=-]{{20,}}')),
-f AS (SELECT doc_id, source, k, regexp_extract_all(t, p) AS m, regexp_split_to_array(t, p) AS s FROM d, p WHERE regexp_matches(t, p)),
-u AS (SELECT doc_id, source, k, m, s, unnest(range(1, len(m) + 1)) AS i FROM f),
+f AS (SELECT doc_id, source, owner, k, regexp_extract_all(t, p) AS m, regexp_split_to_array(t, p) AS s FROM d, p WHERE regexp_matches(t, p)),
+u AS (SELECT doc_id, source, owner, k, m, s, unnest(range(1, len(m) + 1)) AS i FROM f),
 x AS (
-  SELECT doc_id, source, k, m[i] AS v,
+  SELECT doc_id, source, owner, k, m[i] AS v,
     CASE WHEN k = 0 THEN regexp_replace(m[i], {_sql_text(secret_scan._ASSIGN_HEAD)}, '') ELSE m[i] END AS val,
     list_sum(list_transform(s[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) AS st
   FROM u),
@@ -139,7 +140,7 @@ maybe AS (
   SELECT * FROM y WHERE k = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 10
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = y.doc_id AND b.st < y.en AND y.st < b.en)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM maybe),
-live AS (SELECT val FROM every GROUP BY val HAVING count(DISTINCT source) <= {secret_scan.MAX_OWNERS}),
+live AS (SELECT val FROM every GROUP BY val HAVING count(DISTINCT owner) <= {secret_scan.MAX_OWNERS} AND count(DISTINCT source) <= {secret_scan.MAX_REPOS}),
 z AS (
   SELECT doc_id, k, st, ['assign', 'access', 'hex', 'random'][k + 1] || ':' || st || ':' || en AS s, val IN (SELECT val FROM live) AS l FROM every),
 g AS (
