@@ -64,7 +64,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, the spans of secrets in their texts replaced by their kind; n_chars follows."""
     keyed = docs.select("doc_id", "text", "source", F.xxhash64("text").alias("__hash"))
-    found = secret_scan.find(keyed, keep=["doc_id", "__hash"], repo_col="source", owner_col="source")
+    found = secret_scan.find(keyed, keep=["doc_id", "__hash"], repo_col="source")
     found = found.where(F.size("spans") > 0).groupBy("doc_id", "__hash").agg(F.first("spans").alias("__spans"))
     found = written(found, "pipeline-secrets").withColumnsRenamed({"doc_id": "__d", "__hash": "__h2"})
     side = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
