@@ -2,21 +2,28 @@
 
 Each source's tokens are packed, in a pseudorandom order of its documents, into
 blocks of fixed length. The mix is a list of slots, one block each, cut into
-output shards. A shard's counts by source are multinomial: the whole part of what
-the weights ask for, and multinomial draws of the fractions that are left. The
-j-th slot of a source in the mix takes block perm(j mod N) of its N blocks, perm
-being a pseudorandom permutation that changes with each pass j div N. Slots and
-blocks join on (source, block index).
+output shards. A shard's counts by source are a multinomial draw: each of its
+slots draws its source by the target shares (alias method). A second step corrects
+the draws to the targets: sources that drew more slots than their target asks for
+give the surplus up, spread over all shards in proportion to their counts, to
+those that drew fewer; sizes of shards stay as they are. The j-th slot of a source
+in the mix takes block perm(j mod N) of its N blocks, perm being a pseudorandom
+permutation that changes with each pass j div N. Slots and blocks join on (source,
+block index).
 
 Scale: packing needs running sums over a source that may hold a third of all
-rows, so documents are dealt to hash buckets of bounded size, summed within
-buckets, and the buckets' sums are summed in a table thousands of times smaller.
-What the driver holds is a row for each source (MAX_SOURCES at most).
+rows, so documents are dealt to hash buckets, as many for each source as its size
+asks for, summed within buckets, and the buckets' sums are summed in a table
+thousands of times smaller; sums over shards go the same way. Rows that are equal
+in source, id and size are one row with a count until they are packed. What the
+driver holds is a row for each source (MAX_SOURCES at most; more are refused).
 
 Defined cases: a null text has the size 0 and takes nothing; a null source is a
-source of its own, last in order; null and repeated ids keep their rows. Draws
-depend on the seed and the data alone, so reruns agree. A source that reaches
-the limit of passes leaves its further slots empty.
+source of its own, last in order; null and repeated ids keep their rows; texts of
+any length are counted whole and span as many blocks as they fill. Draws depend on
+the seed and the data alone, so reruns agree. A source that reaches the limit of
+passes leaves its further slots empty. Other columns are left out, whatever their
+names; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -33,12 +40,15 @@ from ledgerwatch.llm.common import words, written
 BLOCK = 64
 #: Slots in an output shard.
 SHARD_SLOTS = 4096
-#: Rows that a packing bucket is meant to have.
-BUCKET_ROWS = 10_000
+#: Distinct rows that a packing bucket is meant to have, and shards that are summed at once.
+BUCKET_ROWS = 500
+BUCKET_SHARDS = 4096
 #: Sources are held on the driver; more are refused.
 MAX_SOURCES = 10_000
-#: Slots that a task is meant to spread.
+#: Slots that a task is meant to draw or spread.
 SLOTS_PER_TASK = 50_000
+#: Equal rows that are put back at once.
+EQUAL_ROWS = 10_000
 #: Rounds of the permutation.
 ROUNDS = 24
 
@@ -47,6 +57,7 @@ ROUNDS = 24
 class Source:
     name: str | None
     size: int
+    rows: int
     target: float
 
     @property
@@ -88,89 +99,132 @@ def sized(df: DataFrame, text_col: str = "text", keep: list[str] | None = None,
 
 def sources_of(docs: DataFrame, cycle: tuple[float, ...], max_passes: float) -> list[Source]:
     """Sources by code point, null last, with their sizes and targets."""
-    rows = docs.groupBy("__src").agg(F.sum("size").alias("n")).orderBy(F.col("__src").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
+    rows = docs.groupBy("__src").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).orderBy(F.col("__src").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     sizes = [int(r["n"]) for r in rows]
     targets = reshared(sizes, [cycle[i % len(cycle)] for i in range(len(rows))], max_passes)
-    return [Source(r["__src"], n, t) for r, n, t in zip(rows, sizes, targets, strict=True)]
+    return [Source(r["__src"], n, r["rows"], t) for r, n, t in zip(rows, sizes, targets, strict=True)]
 
 
-def packed(docs: DataFrame, n_rows: int, seed: int) -> DataFrame:
+def _of(values: list, s: str) -> Column:
+    """The value of a source by its number."""
+    return F.get(F.lit(values), F.col(s).cast("int"))
+
+
+def _before(df: DataFrame, s: str, bucket: Column, order: list[str], value: Column, out: str) -> DataFrame:
+    """Adds the sum of value over the earlier rows of a source: by bucket first, then over the buckets' sums."""
+    rows = df.withColumn("__b", bucket).withColumn("__v", value)
+    sums = rows.groupBy(s, "__b").agg(F.sum("__v").alias("__n"))
+    earlier = lambda by, order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(s, "__b", F.coalesce(F.sum("__n").over(earlier([s], ["__b"])), F.lit(0)).alias("__off"))
+    rows = rows.withColumn("__in", F.coalesce(F.sum("__v").over(earlier([s, "__b"], order)), F.lit(0)))
+    return rows.join(sums, [s, "__b"]).withColumn(out, F.col("__off") + F.col("__in")).drop("__b", "__v", "__off", "__in")
+
+
+def packed(docs: DataFrame, sources: list[Source], seed: int) -> DataFrame:
     """Adds __at, the place of each document's first word in its source's sequence; unique where size > 0."""
-    buckets = max(1, -(-n_rows // BUCKET_ROWS))
-    key = F.xxhash64(F.lit(seed), "__id", "size")
-    dealt = docs.withColumns({"__key": key, "__b": F.pmod(key, F.lit(buckets))})
-    sums = dealt.groupBy("__s", "__b").agg(F.sum("size").alias("__n"))
-    before = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("__s", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    inside = Window.partitionBy("__s", "__b").orderBy("__key", "__id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    local = dealt.withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return local.join(sums, ["__s", "__b"]).withColumn("__at", F.col("__off") + F.col("__in")).drop("__key", "__b", "__off", "__in")
+    equal = docs.groupBy("__s", "__id", "size").agg(F.count(F.lit(1)).alias("__m"))
+    equal = equal.withColumn("__key", F.xxhash64(F.lit(seed).cast("bigint"), "__id", "size"))
+    buckets = [max(1, -(-s.rows // BUCKET_ROWS)) for s in sources]
+    placed = _before(equal, "__s", F.pmod("__key", _of(buckets, "__s").cast("bigint")), ["__key", "__id", "size"], F.col("size") * F.col("__m"), "__at")
+    part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__m") - 1) / EQUAL_ROWS).cast("bigint")))
+    placed = placed.withColumn("__part", part).withColumn("__low", F.col("__part") * EQUAL_ROWS)
+    one = F.explode(F.sequence("__low", F.least(F.col("__low") + EQUAL_ROWS, F.col("__m")) - 1))
+    placed = placed.withColumn("__i", one).withColumn("__at", F.col("__at") + F.col("__i") * F.col("size"))
+    return placed.select("__s", "__id", "size", "__at")
 
 
 def permuted(x: Column, n: Column, salt: list[Column]) -> Column:
     """A pseudorandom permutation of 0..n-1 by the swap-or-not construction: each round mirrors x or leaves it."""
 
     def turn(x: Column, r: Column) -> Column:
-        mirror = F.pmod(F.pmod(F.xxhash64(*salt, r), n) - x, n)
-        swap = F.xxhash64(*salt, r, F.greatest(x, mirror)).bitwiseAND(F.lit(1)) == 1
+        mirror = F.pmod(F.pmod(F.xxhash64(*salt, r.cast("bigint")), n) - x, n)
+        swap = F.xxhash64(*salt, r.cast("bigint"), F.greatest(x, mirror)).bitwiseAND(F.lit(1)) == 1
         return F.when(swap, mirror).otherwise(x)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, turn)
 
 
-def _uniform(*parts: Column) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)).cast("double") / float(1 << 53)
+def alias_table(shares: list[float]) -> tuple[list[float], list[int]]:
+    """For each column, the part of it that draws the column itself, and what the rest draws."""
+    n = len(shares)
+    part, other = [x * n for x in shares], list(range(n))
+    low, high = [i for i in range(n) if part[i] < 1], [i for i in range(n) if part[i] >= 1]
+    while low and high:
+        i, j = low.pop(), high[-1]
+        other[i] = j
+        part[j] -= 1 - part[i]
+        if part[j] < 1:
+            low.append(high.pop())
+    for i in low + high:
+        part[i] = 1.0
+    return part, other
+
+
+def apportioned(sources: list[Source]) -> list[int]:
+    """Slots by source: the target in blocks, rounded to a common sum; the largest remainders go up, the first of equal ones."""
+    asked = [s.target / BLOCK for s in sources]
+    out = [int(x) for x in asked]
+    order = sorted(range(len(asked)), key=lambda i: (out[i] - asked[i], i))
+    for i in order[: int(round(sum(asked))) - sum(out)]:
+        out[i] += 1
+    if sum(s.target for s in sources) and not sum(out):
+        out[order[0]] = 1
+    return out
 
 
-def shard_counts(spark, sources: list[Source], seed: int) -> DataFrame:
-    """Rows (shard, s, n): how many slots of an output shard each source gets."""
-    total = sum(s.target for s in sources)
-    slots = int(round(total / BLOCK)) or (1 if total else 0)
+def drawn(spark, sources: list[Source], seed: int) -> DataFrame:
+    """Rows (shard, s, n): how many slots of an output shard draw each source."""
+    slots, total = sum(apportioned(sources)), sum(s.target for s in sources)
+    part, other = alias_table([s.target / total if total else 0.0 for s in sources])
     shards = -(-slots // SHARD_SLOTS)
-    share = F.lit([s.target / total if total else 0.0 for s in sources])
-    df = spark.range(shards).select(
-        F.col("id").alias("shard"),
-        (F.floor((F.col("id") + 1) * slots / shards) - F.floor(F.col("id") * slots / shards)).alias("n") if shards else F.lit(0).alias("n"),
-    )
-    df = df.withColumn("asked", F.transform(share, lambda p: p * F.col("n")))
-    df = df.withColumns(
-        {
-            "sure": F.transform("asked", lambda q: F.floor(q).cast("bigint")),
-            "rest": F.transform("asked", lambda q: q - F.floor(q)),
-        }
-    )
-    zero = F.lit(0).cast("bigint")
-    df = df.withColumn("left", F.col("n") - F.aggregate("sure", zero, lambda a, v: a + v))
-    df = df.withColumn("sum", F.aggregate("rest", F.lit(0.0), lambda a, v: a + v))
-    # Running sums of the fractions; a draw takes the first source whose sum is above it.
-    more = lambda a, v: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0.0)) + v))
-    df = df.withColumn("cum", F.aggregate("rest", F.array().cast("array<double>"), more))
-    draws = F.transform(
-        F.when(F.col("left") > 0, F.sequence(F.lit(1).cast("bigint"), F.col("left"))).otherwise(F.array().cast("array<bigint>")),
-        lambda d: F.least(
-            F.lit(len(sources) - 1),
-            F.size(F.filter("cum", lambda c: c <= _uniform(F.lit(seed), F.col("shard"), d) * F.col("sum"))),
-        ),
-    )
-    df = df.withColumn("drawn", draws)
-    return df.select("shard", F.posexplode("sure").alias("s", "sure"), "drawn").select(
-        "shard", "s", (F.col("sure") + F.size(F.filter("drawn", lambda d: d == F.col("s")))).cast("bigint").alias("n")
-    )
+    df = spark.range(0, shards, 1, max(1, slots // SLOTS_PER_TASK)).select(F.col("id").alias("shard"))
+    df = df.select("shard", F.explode(F.sequence(F.col("shard") * SHARD_SLOTS, F.least((F.col("shard") + 1) * SHARD_SLOTS, F.lit(slots)) - 1)).alias("slot"))
+    column = F.pmod(F.xxhash64(F.lit(seed).cast("bigint"), "slot"), F.lit(len(sources))).cast("int")
+    sure = F.pmod(F.xxhash64(F.lit(seed + 1).cast("bigint"), "slot"), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    df = df.select("shard", column.alias("c"), sure.alias("u"))
+    s = F.when(F.col("u") < _of(part, "c"), F.col("c")).otherwise(_of(other, "c"))
+    return df.groupBy("shard", s.alias("s")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def corrected(counts: DataFrame, wanted: list[int]) -> DataFrame:
+    """counts with the surplus of some sources handed on to others, so that sums over shards are as wanted."""
+    had = {r["s"]: r["n"] for r in counts.groupBy("s").agg(F.sum("n").alias("n")).collect()}
+    surplus = [had.get(i, 0) - w for i, w in enumerate(wanted)]
+    if not any(surplus):
+        return counts
+    given, taken = [], []  # places in one queue of handed on slots
+    at = to = 0
+    for i, x in enumerate(surplus):
+        given.append(at)
+        if x < 0:
+            taken.append((i, to, to - x))
+            to -= x
+        at += max(x, 0)
+    over = counts.withColumn("more", _of([max(x, 0) for x in surplus], "s").cast("bigint"))
+    over = _before(over, "s", F.floor(F.col("shard") / BUCKET_SHARDS), ["shard"], F.col("n"), "c0")
+    total, first = _of([max(1, had.get(i, 0)) for i in range(len(wanted))], "s").cast("bigint"), _of(given, "s").cast("bigint")
+    over = over.withColumns({"total": total, "first": first})
+    over = over.withColumns({"a": F.expr("first + c0 * more DIV total"), "b": F.expr("first + (c0 + n) * more DIV total")})
+    kept = over.select("shard", "s", (F.col("n") - (F.col("b") - F.col("a"))).alias("n"))
+    takers = F.array(*[F.struct(F.lit(i).alias("s"), F.lit(x).cast("bigint").alias("x"), F.lit(y).cast("bigint").alias("y")) for i, x, y in taken])
+    moved = over.where("b > a").select("shard", "a", "b", F.explode(F.filter(takers, lambda t: (t["x"] < F.col("b")) & (t["y"] > F.col("a")))).alias("t"))
+    moved = moved.select("shard", F.col("t.s").alias("s"), (F.least("b", "t.y") - F.greatest("a", "t.x")).alias("n"))
+    return kept.unionByName(moved).groupBy("shard", "s").agg(F.sum("n").alias("n"))
 
 
 def slots_of(counts: DataFrame, sources: list[Source], seed: int, max_passes: int) -> DataFrame:
-    """Rows (s, block), one for each slot of the mix that is within the limit of passes."""
-    earlier = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("j0", F.coalesce(F.sum("n").over(earlier), F.lit(0))).where("n > 0")
+    """Rows (shard, s, block), one for each slot of the mix that is within the limit of passes."""
+    placed = _before(counts.where("n > 0"), "s", F.floor(F.col("shard") / BUCKET_SHARDS), ["shard"], F.col("n"), "j0")
     # Shards are dealt anew: a source's slots must not stay in the task that summed its counts.
     placed = placed.repartition(max(1, sum(x.blocks for x in sources) // SLOTS_PER_TASK), "s", "shard")
-    many = F.get(F.lit([s.blocks for s in sources]), F.col("s")).cast("bigint")
-    j = placed.select("s", many.alias("blocks"), F.explode(F.sequence(F.col("j0"), F.col("j0") + F.col("n") - 1)).alias("j"))
+    many = _of([s.blocks for s in sources], "s").cast("bigint")
+    j = placed.select("shard", "s", many.alias("blocks"), F.explode(F.sequence(F.col("j0"), F.col("j0") + F.col("n") - 1)).alias("j"))
     j = j.where((F.col("blocks") > 0) & (F.col("j") < F.col("blocks") * max_passes))
     turn = F.floor(F.col("j") / F.col("blocks")).cast("bigint")
-    return j.select("s", permuted(F.pmod("j", "blocks"), F.col("blocks"), [F.lit(seed), F.col("s"), turn]).alias("block"))
+    salt = [F.lit(seed).cast("bigint"), F.col("s").cast("bigint"), turn]
+    return j.select("shard", "s", permuted(F.pmod("j", "blocks"), F.col("blocks"), salt).alias("block"))
 
 
 def mix(
@@ -186,11 +240,12 @@ def mix(
         return docs.select(
             F.col("__id").alias(id_col), "size", F.lit(0).cast("bigint").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("bigint").alias("taken")
         )
-    names = F.lit([s.name if s.name is not None else "" for s in sources if s.name is not None] or [""])
+    names = F.lit([s.name for s in sources if s.name is not None] or [""])
     at = F.when(F.col("__src").isNull(), F.lit(len(sources) - 1)).otherwise(F.array_position(names, F.col("__src")).cast("int") - 1)
     docs = docs.withColumn("__s", at).drop("__src")
-    placed = packed(docs, docs.count(), seed)
-    uses = slots_of(shard_counts(spark, sources, seed), sources, seed, max_passes).groupBy("s", "block").agg(F.count(F.lit(1)).alias("uses"))
+    placed = packed(docs, sources, seed)
+    counts = corrected(written(drawn(spark, sources, seed), "mix-counts"), apportioned(sources))
+    uses = slots_of(counts, sources, seed, max_passes).groupBy("s", "block").agg(F.count(F.lit(1)).alias("uses"))
     first, last = F.floor(F.col("__at") / BLOCK), F.floor((F.col("__at") + F.col("size") - 1) / BLOCK)
     cut = placed.where("size > 0").select("__s", "__at", "size", F.explode(F.sequence(first, last)).alias("block"))
     end = F.least(F.col("__at") + F.col("size"), (F.col("block") + 1) * BLOCK)
@@ -202,7 +257,7 @@ def mix(
     key = F.when(F.col("size") > 0, F.col("__at"))
     got = got.select(F.col("__s").alias("__gs"), F.col("__at").alias("__gat"), "taken")
     out = placed.join(got, (F.col("__s") == F.col("__gs")) & (key == F.col("__gat")), "left")
-    pick = lambda values: F.get(F.lit(values), F.col("__s"))
+    pick = lambda values: _of(values, "__s")
     return out.select(
         F.col("__id").alias(id_col), "size",
         pick([s.size for s in sources]).cast("bigint").alias("source_size"),

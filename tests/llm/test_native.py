@@ -3,8 +3,11 @@
 import hashlib
 import random
 import re
+import struct
+from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from ledgerwatch.llm import decontaminate, mixing, quality_rules, queries, secret_scan, url_filter
@@ -155,6 +158,77 @@ def test_permutation_is_one(spark):
         assert sorted(r["p"] for r in out) == list(range(n))
 
 
+def xx(*values):
+    """Spark's xxhash64 of longs."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", v), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_mix(rows, seed, cycle=(5, 2, 1), passes=3):
+    """Words taken of each row (id, size, source), by lists of words and slots."""
+    names = sorted({s for *_, s in rows if s is not None}) + [None] * any(s is None for *_, s in rows)
+    words, wanted = [], []
+    sizes = [sum(n for _, n, s in rows if s == name) for name in names]
+    targets = mixing.reshared(sizes, [cycle[i % 3] for i in range(len(names))], passes)
+    for i, name in enumerate(names):
+        buckets = max(1, -(-sum(s == name for *_, s in rows) // mixing.BUCKET_ROWS))
+        mine = sorted((xx(seed, r[0], r[1]) % buckets, xx(seed, r[0], r[1]), r[0], r[1], k) for k, r in enumerate(rows) if r[2] == name)
+        words.append([k for *_, n, k in mine for _ in range(n)])
+        wanted.append(int(targets[i] / mixing.BLOCK))
+    rest = [i for _, i in sorted((wanted[i] - targets[i] / mixing.BLOCK, i) for i in range(len(names)))]
+    slots = round(sum(t / mixing.BLOCK for t in targets))
+    for i in rest[: slots - sum(wanted)]:
+        wanted[i] += 1
+    part, other = mixing.alias_table([t / sum(targets) for t in targets])
+    draws = []
+    for k in range(slots):
+        c = xx(seed, k) % len(names)
+        draws.append(c if xx(seed + 1, k) % (1 << 53) / (1 << 53) < part[c] else other[c])
+    taken = Counter()
+    for i in range(len(names)):
+        n = -(-len(words[i]) // mixing.BLOCK)
+        for j in range(min(wanted[i], passes * n)):
+            x = j % n
+            for r in range(1, mixing.ROUNDS + 1):
+                mirror = (xx(seed, i, j // n, r) % n - x) % n
+                x = mirror if xx(seed, i, j // n, r, max(x, mirror)) & 1 else x
+            taken.update(words[i][x * mixing.BLOCK : (x + 1) * mixing.BLOCK])
+    return taken, targets, Counter(draws), wanted
+
+
+def test_mix_like_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 40)
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 64)
+    monkeypatch.setattr(mixing, "BUCKET_SHARDS", 3)
+    r = random.Random(5)
+    rows = [(i, r.choice([0, 1, 63, 64, 65, r.randint(0, 900)]), "hot" if i % 3 == 0 else [None, "a", "", "tiny"][i % 4] if i > 8 else "few") for i in range(400)]
+    rows += [(7, 90, "hot")] * 5
+    df = spark.createDataFrame([(i, "w " * n, s) for i, n, s in rows], "doc_id long, text string, source string")
+    taken, targets, draws, wanted = brute_mix(rows, 11)
+    names = sorted({s for *_, s in rows if s is not None}) + [None]
+    # Equal rows change places freely.
+    mine = sorted((x["doc_id"], x["size"], x["taken"], round(x["target"], 6)) for x in mixing.mix(df, seed=11).collect())
+    assert mine == sorted((i, n, taken[k], round(targets[names.index(s)], 6)) for k, (i, n, s) in enumerate(rows))
+    sized = mixing.sized(df, keep=[]).select("__src", "size")
+    sources = mixing.sources_of(sized, (5, 2, 1), 3)
+    counts = mixing.drawn(spark, sources, 11)
+    assert {x["s"]: x["n"] for x in counts.groupBy("s").agg(F.sum("n").alias("n")).collect()} == dict(draws)
+    fixed = mixing.corrected(counts, mixing.apportioned(sources))
+    assert {x["s"]: x["n"] for x in fixed.groupBy("s").agg(F.sum("n").alias("n")).collect()} == {i: w for i, w in enumerate(wanted) if w}
+    sums = lambda c: {x["shard"]: x["n"] for x in c.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    assert sums(fixed) == sums(counts) and fixed.where("n < 0").count() == 0
+
+
+def test_one_id_in_all_rows(spark, monkeypatch):
+    """Null ids of one size: equal rows beyond the number that is put back at once."""
+    monkeypatch.setattr(mixing, "EQUAL_ROWS", 7)
+    df = spark.range(50).selectExpr("cast(null AS long) doc_id", "repeat('w ', 70) text", "'s' source", "'x' size", "1 target", "2 taken")
+    out = mixing.mix(df).collect()
+    assert len(out) == 50 and sum(r["taken"] for r in out) == 50 * 70 and all(r["size"] == 70 and r["taken"] <= 210 for r in out)
+
+
 def test_mix_comes_near_its_targets_and_repeats(spark):
     r = random.Random(5)
     rows = [(i, "w " * r.randint(0, 900), "hot" if i % 3 == 0 else f"s{i % 7}") for i in range(1500)]
