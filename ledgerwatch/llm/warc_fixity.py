@@ -4,22 +4,30 @@ Records are hashed where they lie; only digests, lengths and places move. A
 record's place is its id; FANOUT neighbouring places make a range, FANOUT
 ranges a wider one, up to one root, and each node's digest is over its children
 in order. FANOUT^2 places make a file, in which records have byte offsets. An
-audit compares the roots and goes down level by level into the ranges that
-differ, so it reads a level's nodes below mismatches only.
+audit compares the roots and ends there if they are equal; else it goes down level
+by level. What differs on a level is written, and of the next one only nodes below
+it are read: levels are stored in order of their keys, and the filter on the keys'
+bounds reaches the Parquet scan, which skips files and pages outside of them.
 
 Scale: a node has at most FANOUT children, each level is FANOUT times smaller,
 and there are log(places) levels. Rows of one place are combined by sums of
 their digests' words, which partial aggregation adds up, however many they are.
+The bounds that the driver holds are RANGES pairs at most; wider ones stand for
+more mismatches, and a join on the parent makes the choice exact.
 
 Defined cases: null urls and bodies are empty; a null id takes a negative place
 by the hash of its record; rows of one id make one place, whose digest doesn't
-depend on their order; an empty table has no root and equals an empty replica.
+depend on their order; an empty table has no root and equals an empty replica;
+records of any length are hashed whole, up to the 2 GB of one value in Spark.
+Other columns of the pages are left out, whatever their names.
 """
 
 from __future__ import annotations
 
+import gzip
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +39,10 @@ from ledgerwatch.llm.common import whole, written
 FANOUT = 64
 #: Places of a file.
 FILE_PLACES = FANOUT**2
+#: Pairs of bounds that a filter has at most.
+RANGES = 256
+#: Mismatching nodes are sent to all executors up to this number.
+BROADCAST_ROWS = 200_000
 #: Places from null ids are spread over so many.
 NULL_PLACES = 1 << 40
 #: The date in all records made here.
@@ -77,15 +89,20 @@ def parse(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """id, offset, record of all WARC files below a path that Spark can read; id is the record's ordinal in its file."""
+    """id, offset, record of all WARC files below a path that Spark can read; id is the record's ordinal in its file.
+
+    Files ending in .gz are unpacked, offsets being those of the unpacked bytes. A
+    file is one value: at most 2 GB, and as much memory in its task.
+    """
 
     def run(batches):
         for batch in batches:
             for p, c in zip(batch["path"], batch["content"], strict=True):
+                c = gzip.decompress(c) if p.endswith(".gz") else c
                 found = [(p, i, o, c[o : o + n]) for i, (o, n, _, _) in enumerate(parse(c))]
                 yield type(batch)(found, columns=["file", "id", "offset", "record"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").load(path).select("path", "content")
     return files.mapInPandas(run, "file string, id long, offset long, record binary")
 
 
@@ -112,16 +129,22 @@ def parents(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _stored(nodes: DataFrame, name: str) -> DataFrame:
+    """A level, written so that neighbouring keys are in one page of one file."""
+    near = nodes.repartition(F.floor(F.col("key") / FILE_PLACES)).sortWithinPartitions("key")
+    return written(near, name, **{"parquet.page.row.count.limit": FILE_PLACES})
+
+
 def tree(recs: DataFrame, name: str) -> list[DataFrame]:
     """Levels from the leaves to the root, each written below the shared folder."""
-    levels = [written(leaves(recs), f"{name}-0")]
+    levels = [_stored(leaves(recs), f"{name}-0")]
     low, high = levels[0].agg(F.min("key"), F.max("key")).first()
     while low is not None and not (low == high and len(levels) > 1):
-        levels.append(written(parents(levels[-1]).coalesce(8 if len(levels) > 1 else 64), f"{name}-{len(levels)}"))
+        levels.append(_stored(parents(levels[-1]), f"{name}-{len(levels)}"))
         low, high = low // FANOUT, high // FANOUT
         # Floors of negative and other places meet at -1 and 0 at last.
         if low == -1 and high == 0:
-            levels.append(written(_joined(levels[-1]), f"{name}-{len(levels)}"))
+            levels.append(_stored(_joined(levels[-1]), f"{name}-{len(levels)}"))
             break
     return levels
 
@@ -131,6 +154,19 @@ def _joined(nodes: DataFrame) -> DataFrame:
     return parents(nodes.withColumn("key", F.col("key") + 1)).withColumn("key", F.lit(0).cast("bigint"))
 
 
+def _below(level: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """The rows of a level whose key div width is in nodes (a written table with key)."""
+    low, high = nodes.agg(F.min("key"), F.max("key")).first()
+    if low is None:
+        return level.where("false")
+    part = F.floor((F.col("key") - low) * RANGES / (high - low + 1))
+    bounds = nodes.groupBy(part.alias("p")).agg(F.min("key").alias("a"), F.max("key").alias("b")).select("a", "b").collect()
+    inside = reduce(lambda x, y: x | y, [(F.col("key") >= r["a"] * width) & (F.col("key") < (r["b"] + 1) * width) for r in sorted(bounds)])
+    wide = nodes.select(F.col("key").alias("up")).distinct()
+    wide = F.broadcast(wide) if nodes.count() <= BROADCAST_ROWS else wide
+    return level.where(inside).join(wide, F.floor(F.col("key") / width).cast("bigint") == F.col("up"), "left_semi")
+
+
 def audit(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
     """Places that differ: key, kind (changed, missing or extra in b), and n and bytes on either side.
 
@@ -139,14 +175,16 @@ def audit(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
     top = min(len(a), len(b)) - 1
     differ: DataFrame | None = None
     for level in range(top, -1, -1):
-        both = a[level].withColumn("side", F.lit("a")).unionByName(b[level].withColumn("side", F.lit("b")))
+        sides = a[level], b[level]
         if differ is not None:
-            up = F.floor(F.col("key") / FANOUT).cast("bigint")
-            wide = differ.select(F.col("key").alias("up"))
-            both = both.join(wide, up == F.col("up"), "left_semi")
+            if not differ.limit(1).count():
+                break  # Equal nodes stand for equal records, and nothing below them is read.
+            # A root's children are few, and where negative places were joined their keys aren't below its own.
+            sides = tuple(x[level] if level == len(x) - 2 else _below(x[level], differ, FANOUT) for x in (a, b))
+        both = sides[0].withColumn("side", F.lit("a")).unionByName(sides[1].withColumn("side", F.lit("b")))
         of = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c)))
         node = both.groupBy("key").agg(*[of(c, s).alias(f"{c}_{s}") for c in ("digest", "n", "bytes") for s in "ab"])
-        differ = node.where(~F.col("digest_a").eqNullSafe(F.col("digest_b")))
+        differ = written(node.where(~F.col("digest_a").eqNullSafe(F.col("digest_b"))), f"warc-differ-{level}")
     kind = F.when(F.col("digest_b").isNull(), "missing").when(F.col("digest_a").isNull(), "extra").otherwise("changed")
     return differ.select("key", kind.alias("kind"), "n_a", "n_b", "bytes_a", "bytes_b", "digest_a", "digest_b")
 
@@ -162,14 +200,14 @@ def offsets(level0: DataFrame) -> DataFrame:
 def located(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
     """audit() with the file and the offset in replica a of each differing place (in b for an extra one)."""
     differ = audit(a, b)
-    wide = differ.select(F.floor(F.col("key") / FILE_PLACES).cast("bigint").alias("file")).distinct()
+    file = F.floor(F.col("key") / FILE_PLACES).cast("bigint")
+    files = written(differ.select(file.alias("key")).distinct(), "warc-files")
 
     def of(level0: DataFrame, suffix: str) -> DataFrame:
-        mine = level0.join(wide, F.floor(F.col("key") / FILE_PLACES).cast("bigint") == F.col("file"), "left_semi")
-        return offsets(mine).select("key", F.col("offset").alias(f"offset_{suffix}"))
+        return offsets(_below(level0, files, FILE_PLACES)).select("key", F.col("offset").alias(f"offset_{suffix}"))
 
     out = differ.join(of(a[0], "a"), "key", "left").join(of(b[0], "b"), "key", "left")
-    return out.withColumn("file", F.floor(F.col("key") / FILE_PLACES).cast("bigint"))
+    return out.withColumn("file", file)
 
 
 def damaged(pages: DataFrame, id_col: str = "page_id", body_col: str = "html") -> DataFrame:

@@ -1,5 +1,6 @@
 """Chat formatting, quality network, WARC audit, token counts and the Jaccard join."""
 
+import gzip
 import hashlib
 import random
 import zlib
@@ -148,6 +149,43 @@ def test_warc_round_trip_and_audit(spark):
     assert out == {(4500, "missing"), (8000, "changed"), (9500, "extra")}
 
 
+def test_equal_nodes_end_the_descent(spark):
+    """No leaf is read below equal roots, and below a mismatch only the pages of its file."""
+    pages = spark.range(9000).selectExpr("id AS page_id", "concat('http://x/', id) AS url", "'b' AS html", "1 AS key", "2 AS digest")
+    a, b = (warc_fixity.tree(warc_fixity.records(pages), f"t-{k}") for k in "de")
+    unread = lambda t, ok: [t[0].where(f"CASE WHEN {ok} THEN true ELSE raise_error('read') END"), *t[1:]]
+    assert warc_fixity.audit(unread(a, "false"), unread(b, "false")).count() == 0
+    bad = pages.withColumn("html", F.when(F.col("page_id") == 5000, "x").otherwise("b"))
+    c = warc_fixity.tree(warc_fixity.records(bad), "t-f")
+    near = "key >= 4096 AND key < 8192"  # the pages of its file
+    assert [r["key"] for r in warc_fixity.audit(unread(a, near), unread(c, near)).collect()] == [5000]
+
+
+def test_audit_of_negative_places_and_empty_tables(spark, monkeypatch):
+    monkeypatch.setattr(warc_fixity, "NULL_PLACES", 500)
+    schema = "page_id long, url string, html string"
+    rows = [(i, f"http://x/{i}", "b") for i in range(300)] + [(None, f"http://n/{i}", "b") for i in range(90)]
+    of = lambda r: warc_fixity.tree(warc_fixity.records(spark.createDataFrame(r, schema)), "t-g")
+    a = of(rows)
+    assert warc_fixity.audit(a, of(rows[::-1])).count() == 0
+    lost = warc_fixity.located(a, of(rows[:-1])).collect()
+    assert len(lost) == 1 and lost[0]["key"] < 0 and lost[0]["kind"] in ("missing", "changed")
+    none = of([])
+    assert warc_fixity.audit(none, none).count() == 0 and warc_fixity.audit(none, of([])).count() == 0
+    assert {r["kind"] for r in warc_fixity.located(a, none).collect()} == {"missing"}
+    assert {r["kind"] for r in warc_fixity.located(none, a).collect()} == {"extra"}
+    assert warc_fixity.located(a, none).count() == a[0].count()
+
+
+def test_packed_files_are_read(spark, tmp_path):
+    pages = spark.range(20).selectExpr("id AS page_id", "'u' AS url", "repeat('é', cast(id AS int)) AS html")
+    (content,) = warc_fixity.containers(warc_fixity.records(pages)).select("content").first()
+    (tmp_path / "a.warc").write_bytes(content)
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(bytes(content)[o : o + n]) for o, n, _, _ in warc_fixity.parse(bytes(content))))
+    out = [(r["id"], r["offset"], bytes(r["record"])) for r in warc_fixity.read_records(spark, str(tmp_path)).orderBy("file", "id").collect()]
+    assert len(out) == 40 and out[:20] == out[20:]
+
+
 def brute(docs, n, num, den):
     sets, parent = {}, {}
     for d, t in docs:
