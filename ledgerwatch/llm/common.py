@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +11,12 @@ from pyspark.sql import functions as F
 #: White space between words: space, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Bytes of a batch that is sent to Python, besides its last row.
+BATCH_BYTES = 32 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Spark's switch to remove an execution's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -62,31 +66,41 @@ def pinned(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a session on one machine takes a local folder, and any other
+    the warehouse, which a cluster shares too.
+    """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
-        there = f"file://{tempfile.mkdtemp(prefix='ledgerwatch-')}"
+        if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            there = f"file://{tempfile.mkdtemp(prefix='ledgerwatch-')}"
+        else:
+            there = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
 
 
-def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches for Python are cut at BATCH_BYTES too, unless the session says otherwise."""
+    if spark.conf.get(_BATCH, None) in (None, "", str(2**31 - 1)):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def written(df: DataFrame, name: str, **options: int | str) -> DataFrame:
     """Write df as Parquet below the shared folder and read it back: its lineage ends there.
 
     The files outlive lost executors. They go when the driver's JVM ends. The shuffle
-    files behind df are of no more use then, but Spark removes them only once the
-    driver has collected its garbage; free asks for that, after a large shuffle.
+    files behind df are of no more use once it is written, and Spark is told so.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerwatch/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    if free:
-        # Python's handles on the JVM's plans are given back by a thread that looks once a second.
-        for _ in range(2):
-            gc.collect()
-            time.sleep(1)
-            jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

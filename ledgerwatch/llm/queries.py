@@ -28,9 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = url_filter.train(url_filter.labelled_urls(spark))
+    model = url_filter.train(url_filter.labelled_urls(spark))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judge(pages, weights).select("page_id", "host", "path", "rule", "verdict", "score")
+    return url_filter.judge(pages, model).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
