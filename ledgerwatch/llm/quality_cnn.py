@@ -6,12 +6,14 @@ and the last one is what is left. A small layer turns a chunk's features into a
 logit and the mean over chunks into one probability.
 
 Training takes a bounded sample (MAX_TRAIN labelled rows, by the hash of their
-id, and TRAIN_CHUNKS chunks of a text an epoch) on the driver; scoring covers
-every byte of every text in batches of bounded size, with memory for SLICE bytes
-at a time.
+id) on the driver, each text whole in every epoch; scoring covers every byte of
+every text in batches of bounded size. Both have memory for SLICE bytes of filter
+responses at a time.
 
 Defined cases: a null or empty text scores as no chunk, by the bias alone;
-repeated rows give a row each; null ids are scored and never train.
+repeated rows give a row each; null ids are scored and never train; a column named
+score is replaced and others may have any names; without labels the network is
+untrained; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ledgerwatch.llm.common import bounded_batches
+
 WIDTH = 6
 FILTERS = 16
 HIDDEN = 16
@@ -32,9 +36,8 @@ HALF = 256
 CHUNK = 2 * HALF
 #: Bytes that are in work at once.
 SLICE = HALF * 256
-#: Bound of the training sample.
-MAX_TRAIN = 3000
-TRAIN_CHUNKS = 4
+#: Bound of the training sample, in labelled rows.
+MAX_TRAIN = 2000
 
 
 @dataclass
@@ -107,7 +110,7 @@ def probability(net: Network, tables: np.ndarray, text: str | None) -> float:
 
 
 def fit(texts: list[str], labels: list[int], epochs: int = 5, seed: int = 7, rate: float = 0.01) -> Network:
-    """Adam on the log loss, one text a step, over TRAIN_CHUNKS random chunks of it."""
+    """Adam on the log loss, a few texts a step, each with all its chunks."""
     net, r = initial(seed), np.random.default_rng(seed)
     data = [t.encode("utf-8", "surrogatepass") for t in texts]
     mean, square, t = [np.zeros_like(p) for p in net.params()], [np.zeros_like(p) for p in net.params()], 0
@@ -118,7 +121,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 5, seed: int = 7, rat
         for first in range(0, len(order), batch):
             grads = [np.zeros_like(p) for p in net.params()]
             for i in order[first : first + batch]:
-                _add_gradient(net, data[i], labels[i], r, grads)
+                _add_gradient(net, data[i], labels[i], grads)
             t += 1
             for k, p in enumerate(net.params()):
                 g = grads[k] / batch
@@ -128,36 +131,38 @@ def fit(texts: list[str], labels: list[int], epochs: int = 5, seed: int = 7, rat
     return net
 
 
-def _add_gradient(net: Network, data: bytes, label: int, r: np.random.Generator, grads: list[np.ndarray]) -> None:
+def _responses(net: Network, raw: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filters' maxima over each run of HALF starts, and where they are."""
+    best, where = [], []
+    for at in range(0, n, SLICE):
+        m = min(SLICE, n - at)
+        got = net.conv[0][raw[at : at + m]]
+        for j in range(1, WIDTH):
+            got += net.conv[j][raw[at + j : at + j + m]]
+        for h in range(0, m, HALF):
+            top = got[h : h + HALF].argmax(axis=0)
+            best.append(got[h + top, np.arange(FILTERS)])
+            where.append(at + h + top)
+    return np.stack(best), np.stack(where)
+
+
+def _add_gradient(net: Network, data: bytes, label: int, grads: list[np.ndarray]) -> None:
     if not data:
         grads[5] += 1 / (1 + np.exp(-net.b2)) - label
         return
-    starts = np.arange(0, max(1, len(data) - HALF), HALF)
-    if len(starts) > TRAIN_CHUNKS:
-        starts = r.choice(starts, TRAIN_CHUNKS, replace=False)
-    pooled, where, sizes = [], [], []
-    for s in starts:
-        piece = data[s : s + CHUNK + WIDTH]
-        n = min(CHUNK, len(data) - s)
-        raw = np.frombuffer(piece + bytes(WIDTH), dtype=np.uint8)
-        idx = raw[np.arange(n)[:, None] + np.arange(WIDTH)]
-        got = net.conv[0][idx[:, 0]]
-        for j in range(1, WIDTH):
-            got = got + net.conv[j][idx[:, j]]
-        arg = got.argmax(axis=0)
-        pooled.append(got[arg, np.arange(FILTERS)])
-        where.append(idx[arg])  # FILTERS x WIDTH
-        sizes.append(n)
-    pooled_, sizes_ = np.stack(pooled), np.array(sizes)
-    x = features(pooled_ + net.bias, sizes_)
+    raw = padded(data)
+    halves, where = _responses(net, raw, len(data))
+    pooled, sizes = chunk_maxima(halves, len(data))
+    if len(halves) > 1:
+        where = np.where(halves[:-1] >= halves[1:], where[:-1], where[1:])
+    x = features(pooled + net.bias, sizes)
     h = np.maximum(x @ net.w1 + net.b1, 0)
     z = (h @ net.w2 + net.b2[0]).mean()
     d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) / len(x)
     dh = np.where(h > 0, d * net.w2, 0).astype(np.float32)
     dx = (dh @ net.w1.T)[:, :FILTERS] * (x[:, :FILTERS] > 0)
-    for k in range(len(x)):
-        for j in range(WIDTH):
-            np.add.at(grads[0][j], (where[k][:, j], np.arange(FILTERS)), dx[k])
+    for j in range(WIDTH):
+        np.add.at(grads[0][j], (raw[where + j], np.arange(FILTERS)), dx)
     grads[1] += dx.sum(axis=0)
     grads[2] += x.T @ dh
     grads[3] += dh.sum(axis=0)
@@ -185,6 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(df: DataFrame, net: Network, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns (one named score is replaced) and score."""
+    bounded_batches(df.sparkSession)
     keep = [c for c in (df.columns if keep is None else keep) if c not in (text_col, "score")]
     sent = df.sparkSession.sparkContext.broadcast(net.params())
     kept = df.select(*[F.col(f"`{c}`") for c in keep])
@@ -195,7 +201,7 @@ def score(df: DataFrame, net: Network, text_col: str = "text", keep: list[str] |
         own = Network(*sent.value)
         tables = own.pairs()
         for b in batches:
-            scores = pa.array([probability(own, tables, t) for t in b.column(0).to_pylist()], pa.float64())
+            scores = pa.array([probability(own, tables, t.as_py()) for t in b.column(0)], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], scores], names=[*keep, "score"])
 
     return chosen.mapInArrow(run, schema)

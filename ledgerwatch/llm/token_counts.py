@@ -29,7 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ledgerwatch.llm.common import bounded_batches
+
 MARK = "▁"
+#: The setting that names a vocabulary file, where no path is given.
+VOCABULARY = "spark.ledgerwatch.vocabulary"
 #: Cached counts of words in a worker.
 MAX_CACHED = 200_000
 #: Words above this length aren't cached.
@@ -42,6 +46,7 @@ _WORD = re.compile("[^\t-\r \x85\xa0  -     　]+")
 
 
 def default_vocabulary_path() -> str:
+    """The file of a package of public tokenizers, if that is installed; else a path must be given or set."""
     import public_tokenizers
 
     return str(public_tokenizers.path("piece_bpe_32k.model"))
@@ -142,9 +147,11 @@ def count_tokens(df: DataFrame, text_col: str = "text", keep: list[str] | None =
     The vocabulary file is read once on the driver (its size is bounded by the
     tokenizer) and sent to the workers, which build the automaton once each.
     """
+    bounded_batches(df.sparkSession)
     made = ("n_tokens", "n_words")
     keep = [c for c in (df.columns if keep is None else keep) if c not in (text_col, *made)]
-    sent = df.sparkSession.sparkContext.broadcast(vocabulary(path or default_vocabulary_path()))
+    path = path or df.sparkSession.conf.get(VOCABULARY, None) or default_vocabulary_path()
+    sent = df.sparkSession.sparkContext.broadcast(vocabulary(path))
     kept = df.select(*[F.col(f"`{c}`") for c in keep])
     chosen = df.select(F.col(f"`{text_col}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in keep])
     schema = StructType([*kept.schema.fields, *(StructField(n, LongType()) for n in made)])
@@ -152,7 +159,7 @@ def count_tokens(df: DataFrame, text_col: str = "text", keep: list[str] | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(sent.value)
         for b in batches:
-            both = [counter.text(t) for t in b.column(0).to_pylist()]
+            both = [counter.text(t.as_py()) for t in b.column(0)]
             counts = [pa.array([x[i] for x in both], pa.int64()) for i in range(2)]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *counts], names=[*keep, *made])
 

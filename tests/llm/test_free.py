@@ -105,6 +105,26 @@ def test_network_reads_every_byte():
     assert np.allclose(halves, want, atol=1e-5)
 
 
+def test_gradient_of_whole_texts():
+    """Against differences of the loss, of all parameters, over a text of several chunks."""
+    net, data = quality_cnn.initial(3), bytes(random.Random(1).randrange(32, 126) for _ in range(1500))
+    for p in range(6):
+        setattr(net, ("conv", "bias", "w1", "b1", "w2", "b2")[p], net.params()[p].astype(np.float64))
+    loss = lambda: -np.log(quality_cnn.probability(net, net.pairs(), data.decode()))
+    grads = [np.zeros_like(p) for p in net.params()]
+    quality_cnn._add_gradient(net, data, 1, grads)
+    r = random.Random(2)
+    for g, p in zip(grads, net.params(), strict=True):
+        for at in [*np.argwhere(g != 0)[:: max(1, (g != 0).sum() // 5)], [r.randrange(n) for n in p.shape]]:
+            at, was = tuple(at), p[tuple(at)]
+            p[at] = was + 1e-6
+            up = loss()
+            p[at] = was - 1e-6
+            down = loss()
+            p[at] = was
+            assert g[at] == pytest.approx((up - down) / 2e-6, abs=1e-4)
+
+
 def test_network_odd(spark, odd, none):
     net = quality_cnn.initial(1)
     assert quality_cnn.score(odd, net).count() == odd.count() and quality_cnn.score(none, net).count() == 0
