@@ -27,8 +27,14 @@ n-grams and sets have 64 bits.
 
 Defined cases: a null or empty text has no set, links with nothing and is its
 own component; with fewer words than n, the whole sequence is the one element;
-null and repeated ids keep their rows, and a component's id is its least id that
-isn't null.
+null and repeated ids keep their rows, two texts of one id are judged apart, and a
+component's id is its least id that isn't null. Ids may have any type that has an
+order. Other columns of df are left out, whatever their names. An empty table
+gives no rows. A text is one value and its set one array, so memory is that of the
+longest texts of a batch, which is bounded by bytes (common.BATCH_BYTES).
+
+A key that n classes share, none of them linked, costs n^2 / TILE rows: that all
+of them meet is what makes the join exact.
 """
 
 from __future__ import annotations
@@ -40,11 +46,13 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from ledgerwatch.llm.common import written
+from ledgerwatch.llm.common import bounded_batches, written
 
 #: Sizes of a band reach from its least to that times this.
 BAND_RATIO = 1.4
@@ -54,8 +62,8 @@ TILE = 2048
 BROADCAST_ROWS = 500_000
 #: Cached word hashes in a worker.
 MAX_CACHED = 300_000
-#: Rows of tiles that a task is meant to have, and pairs that it remembers having passed on.
-TASK_ROWS = 100_000
+#: Rows of tiles, copied ones included, that a task is meant to have, and pairs that it remembers having passed on.
+TASK_ROWS = 20_000
 MAX_SEEN = 1_000_000
 #: Pairs that a tile passes on for each two components, in the first round that isn't a forest; 16 times as many in each next.
 FIRST_PORTION = 64
@@ -197,19 +205,32 @@ def folded(bits: list[bytes]) -> np.ndarray:
 
 
 def signed(df: DataFrame, measure: Measure, text_col: str, id_col: str) -> DataFrame:
-    """id, n, c (class), keys and bits of each text."""
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    """id, t (the text's hash), n, c (class), keys and bits of each text."""
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    made = [StructField("n", LongType()), StructField("c", LongType()), StructField("keys", ArrayType(LongType())), StructField("bits", BinaryType())]
+    schema = StructType([*rows.schema.fields[:2], *made])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(measure.n)
-        for pdf in batches:
-            out = []
-            for t in pdf.pop("t"):
-                s = shingle(t)
-                out.append((len(s), set_hash(s), keys_of(s, measure).view(np.int64), bits_of(s)) if len(s) else (0, 0, [], b""))
-            yield pd.concat([pdf["id"].astype("Int64"), pd.DataFrame(out, columns=["n", "c", "keys", "bits"], index=pdf.index)], axis=1)
+        for b in batches:
+            sizes, classes, keys, bits = [], [], [], []
+            for t in b.column(2):
+                s = shingle(t.as_py())
+                sizes.append(len(s))
+                classes.append(set_hash(s) if len(s) else 0)
+                keys.append(keys_of(s, measure).view(np.int64) if len(s) else np.empty(0, np.int64))
+                bits.append(bits_of(s) if len(s) else b"")
+            columns = [pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists(keys), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
-    return rows.mapInPandas(run, "id long, n long, c long, keys array<long>, bits binary")
+
+def lists(arrays: list[np.ndarray]) -> pa.Array:
+    """An Arrow column of 64-bit arrays, of none of them too."""
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *arrays]), pa.int64()))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -222,24 +243,29 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 def verified(pairs: DataFrame, classes: DataFrame, df: DataFrame, measure: Measure, text_col: str, id_col: str) -> DataFrame:
     """The pairs (a, b) of classes that link, by exact intersection of their sets, made anew from the texts."""
-    # One row of each class is enough; its id leads to its text.
+    # One row of each class is enough; its id and the hash of its text lead to its text.
     wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    wanted = written(classes.join(wanted, "c", "left_semi").select("c", "id"), "jaccard-wanted")
+    wanted = written(classes.join(wanted, "c", "left_semi").select("c", "id", "t"), "jaccard-wanted")
     few = wanted.count() <= BROADCAST_ROWS
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    side = wanted.withColumnRenamed("id", "wid")
-    rows = rows.join(F.broadcast(side) if few else side, F.col("id").eqNullSafe(F.col("wid"))).select("c", "t")
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    side = wanted.select("c", F.col("id").alias("wid"), F.col("t").alias("wt"))
+    rows = rows.join(F.broadcast(side) if few else side, F.col("id").eqNullSafe(F.col("wid")) & (F.col("t") == F.col("wt"))).select("c", "text")
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(measure.n)
-        for pdf in batches:
-            made = [shingle(t) for t in pdf["t"]]
-            # An id may stand at other texts too.
-            right = [i for i, (s, c) in enumerate(zip(made, pdf["c"], strict=True)) if len(s) and set_hash(s) == c]
-            yield pd.DataFrame({"c": pdf["c"].iloc[right].to_numpy(), "s": [made[i].view(np.int64) for i in right]})
-
-    arrays = rows.mapInPandas(sets, "c long, s array<long>").dropDuplicates(["c"])
-    arrays = written(arrays, "jaccard-sets", free=True)
+        for b in batches:
+            right, made = [], []
+            for c, t in zip(b.column(0), b.column(1), strict=True):
+                s = shingle(t.as_py())
+                # Hashes of texts may be equal too.
+                if len(s) and set_hash(s) == c.as_py():
+                    right.append(c.as_py())
+                    made.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(right, pa.int64()), lists(made)], names=["c", "s"])
+
+    arrays = rows.mapInArrow(sets, "c long, s array<long>").dropDuplicates(["c"])
+    arrays = written(arrays, "jaccard-sets")
     both = pairs.join(arrays.withColumnsRenamed({"c": "a", "s": "sa"}), "a").join(arrays.withColumnsRenamed({"c": "b", "s": "sb"}), "b")
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -356,13 +382,16 @@ def join(
     df: DataFrame, measure: Measure, text_col: str = "text", id_col: str = "doc_id"
 ) -> DataFrame:
     """id_col, n_shingles and component_id, a row for each row of df."""
+    bounded_batches(df.sparkSession)
     docs = written(signed(df, measure, text_col, id_col), "jaccard-signed")
     some = docs.where("n > 0")
-    classes = written(some.groupBy("c").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-classes")
+    one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("one")
+    classes = some.groupBy("c").agg(one, F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = written(classes.select("c", "one.id", "one.t", "n", "bits"), "jaccard-classes")
     met = some.select("c", F.explode("keys").alias("key"))
     # Groups of one class go at once: most keys, and all that only copies share.
-    groups = written(met.groupBy("key").agg(F.min("c").alias("lead"), F.max("c").alias("last")).where("lead < last").select("key", "lead"), "jaccard-groups", free=True)
-    grouped = written(met.join(groups, "key").select("key", "c", "lead").distinct(), "jaccard-grouped", free=True)
+    groups = written(met.groupBy("key").agg(F.min("c").alias("lead"), F.max("c").alias("last")).where("lead < last").select("key", "lead"), "jaccard-groups")
+    grouped = written(met.join(groups, "key").select("key", "c", "lead").distinct(), "jaccard-grouped")
     # A set's leader is the one of most of its groups.
     votes = grouped.where("c <> lead").groupBy("c", "lead").agg(F.count(F.lit(1)).alias("v"))
     first = votes.groupBy("c").agg(F.max_by("lead", F.struct("v", -F.col("lead"))).alias("lead")).select(F.col("c").alias("a"), F.col("lead").alias("b"))
@@ -372,11 +401,12 @@ def join(
     while not done:
         rows = _label(grouped, labels, "c", "label")
         sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
-        sizes = sizes.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("n_all"), F.count(F.lit(1)).alias("n_labels"))
-        left = sizes.where("n_labels > 1").drop("n_labels")
-        loads = left.groupBy("main").agg(F.ceil(F.sum("n_all") / TASK_ROWS).alias("spread"))
-        left = left.join(loads, "main")
-        rows = rows.join(left, "key").withColumn("tiles", F.ceil(F.col("n_all") / TILE).cast("int"))
+        sizes = sizes.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("n_main"), F.sum("k").alias("n_all"), F.count(F.lit(1)).alias("n_labels"))
+        left = sizes.where("n_labels > 1").withColumn("tiles", F.ceil(F.col("n_all") / TILE).cast("int"))
+        dealt_rows = F.col("n_main") + (F.col("n_all") - F.col("n_main")) * F.col("tiles")
+        loads = left.groupBy("main").agg(F.ceil(F.sum(dealt_rows) / TASK_ROWS).alias("spread"))
+        left = left.select("key", "main", "tiles").join(loads, "main")
+        rows = rows.join(left, "key")
         is_main = F.col("label") == F.col("main")
         dealt = F.when(is_main, F.array(F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))
         rows = rows.select("key", "c", "label", is_main.alias("main"), F.col("main").alias("about"), "spread", F.explode(dealt).alias("tile"))
