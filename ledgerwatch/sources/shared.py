@@ -8,10 +8,13 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where that is unset."""
+    """spark.checkpoint.dir; where that is unset, a local folder on one machine and else one below the warehouse."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
-        there = f"file://{tempfile.mkdtemp(prefix='ledgerwatch-')}"
+        if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            there = f"file://{tempfile.mkdtemp(prefix='ledgerwatch-')}"
+        else:
+            there = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
 
