@@ -49,6 +49,8 @@ MAX_SOURCES = 10_000
 SLOTS_PER_TASK = 50_000
 #: Equal rows that are put back at once.
 EQUAL_ROWS = 10_000
+#: The seed of all draws, where none is given.
+SEED = 20240607
 #: Rounds of the permutation.
 ROUNDS = 24
 
@@ -229,7 +231,7 @@ def slots_of(counts: DataFrame, sources: list[Source], seed: int, max_passes: in
 
 def mix(
     df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source",
-    cycle: tuple[float, ...] = (5, 2, 1), max_passes: int = 3, seed: int = 20240607,
+    cycle: tuple[float, ...] = (5, 2, 1), max_passes: int = 3, seed: int = SEED,
 ) -> DataFrame:
     """Id, size, source_size, target and taken (words that the mix takes, repeats counted), a row for each row of df."""
     spark = df.sparkSession
