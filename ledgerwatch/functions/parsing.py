@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,16 +21,38 @@ def first_time(text: Column, forms: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in forms])
 
 
+_DIGITS = {"yyyy": r"\d{4}", "MM": r"\d\d", "dd": r"\d\d", "HH": r"\d\d", "mm": r"\d\d", "ss": r"\d\d", "SSSSSS": r"\d{6}"}
+
+
+def _shape(form: str) -> str:
+    """The pattern of the texts that a form may fit."""
+    parts = re.findall(r"y+|M+|d+|H+|m+|s+|S+|'[^']*'|.", form)
+    return "".join(_DIGITS.get(p, r"\d{1,2}" if p in "MdHms" else re.escape(p.strip("'"))) for p in parts)
+
+
 def csv_time(c: Column) -> Column:
-    """Without Z, and behind a T without fractions of a second; null where no form fits."""
-    s = stripped(F.regexp_replace(c.cast("string"), "[Zz]", ""))
+    """Without Z, and behind a T without fractions of a second; null where no form fits.
+
+    A text's shape tells the forms that it may have, mostly one, so that parsers don't
+    run on what they can't read.
+    """
+    s = stripped(F.translate(c.cast("string"), "Zz", ""))
     short = F.when(s.contains("T") & s.contains("."), F.substring_index(s, ".", 1)).otherwise(s)
     # A fraction may have one to six digits.
-    padded = F.regexp_replace(s, r"^(.*\d{1,2}:\d{1,2}:\d{1,2})\.(\d{1,6})$", "$1.$2")
     tail = F.rpad(F.regexp_extract(s, r"\.(\d{1,6})$", 1), 6, "0")
-    full = F.when(padded.rlike(r":\d{1,2}\.\d{1,6}$"), F.concat(F.regexp_replace(s, r"\.\d{1,6}$", "."), tail))
-    tries = [F.try_to_timestamp(full if "SSS" in f else short, F.lit(f)) for f in CSV_TIMES]
-    return F.coalesce(*tries)
+    text = F.when(short.contains(".") & short.rlike(r":\d{1,2}\.\d{1,6}$"), F.concat(F.regexp_replace(s, r"\.\d{1,6}$", "."), tail)).otherwise(short)
+    forms: dict[str, list[str]] = {}
+    for f in CSV_TIMES:
+        forms.setdefault(_shape(f), []).append(f)
+
+    def parsed(t: Column) -> Column:
+        out = F.lit(None).cast("timestamp")
+        for shape, fs in reversed(forms.items()):
+            out = F.when(t.rlike(f"^{shape}$"), F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in fs])).otherwise(out)
+        return out
+
+    # As the one element of an array, the text is made once and not for each branch.
+    return F.get(F.transform(F.array(text), parsed), F.lit(0))
 
 
 def json_time(c: Column) -> Column:

@@ -36,18 +36,19 @@ NAME_WORDS: dict[str, str] = {
     "ibn": "bin",
 }
 
-_SPACES = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+#: White space as Unicode has it, for trimming by character.
+_SPACES = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _NOT_WORD = re.compile(r"[^\w\s]")
 
 
 def key(c: Column) -> Column:
     """Stripped of white space and lower-cased; the empty string for null or blank."""
-    return F.coalesce(F.lower(F.regexp_replace(c.cast("string"), _SPACES, "")), F.lit(""))
+    return F.coalesce(F.lower(F.btrim(c.cast("string"), F.lit(_SPACES))), F.lit(""))
 
 
 def stripped(c: Column) -> Column:
     """Without outer white space; null where nothing is left."""
-    return F.nullif(F.regexp_replace(c.cast("string"), _SPACES, ""), F.lit(""))
+    return F.nullif(F.btrim(c.cast("string"), F.lit(_SPACES)), F.lit(""))
 
 
 def plain_name(name: str | None) -> str:

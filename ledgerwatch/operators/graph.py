@@ -12,6 +12,7 @@ from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerwatch.functions.text import key
 from ledgerwatch.sources.shared import ready_to_checkpoint
@@ -73,6 +74,21 @@ def rings(signals: DataFrame, min_shared: int = 2, min_linked: int = 2) -> DataF
     return signals.where((F.col("overlap_count") >= min_shared) & (F.size("linked_accounts") >= min_linked))
 
 
+def neighbourhood(edges: DataFrame, account_id: int, as_of: Column, lookback_days: int = 30) -> DataFrame:
+    """An account's edges by (dst_type, dst_key), numbered by place, each with the account's ring: overlap_count, linked, degree.
+
+    Only edges of the account and of those that share a counterparty with it are joined.
+    """
+    mine = edges.where((F.col("src_type") == "account") & (F.col("src_id") == account_id))
+    near = account_edges(since(edges, "last_seen_at", as_of, lookback_days))
+    own = near.where(F.col("account_id") == account_id).select("dst_key")
+    others = near.where(F.col("account_id") != account_id).join(own, "dst_key", "left_semi")
+    ring = others.agg(F.count_distinct("dst_key").alias("overlap_count"), F.count_distinct("account_id").alias("linked"))
+    ring = ring.join(own.agg(F.count(F.lit(1)).alias("degree")))  # a row each
+    place = F.row_number().over(Window.partitionBy("src_id").orderBy("dst_type", "dst_key")).cast("bigint")
+    return mine.withColumn("place", place).join(F.broadcast(ring)).orderBy("place")
+
+
 def projection(edges: DataFrame) -> DataFrame:
     """Directed edges src -> dst between accounts that share counterparties: times, counts and the shared ones."""
     e = account_edges(edges)

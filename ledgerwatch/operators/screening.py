@@ -5,13 +5,15 @@ once. List aliases are normalised once and blown up to one row each. Where only
 exact and edit-distance similarity are asked for, pairs are first joined on
 length classes, which loses none; the phonetic one has no such bound, so it
 compares all pairs of distinct names and list entries (a stated list, checked in size).
+Jaro-Winkler, which runs in Python, is left to pairs whose common letters let it
+reach the threshold, or that another similarity brings there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwatch.functions.text import ALGORITHMS, plain_name_udf
@@ -27,6 +29,19 @@ def prepared(entries: DataFrame) -> DataFrame:
     return rows.withColumn("plain", plain_name_udf("alias")).where("plain <> ''").select("entry_id", "place", "plain")
 
 
+def _letters(c: Column) -> Column:
+    """The letters of a text, repeated ones told apart by their number."""
+    each = F.array_sort(F.array_remove(F.split(c, ""), ""))
+    return F.transform(each, lambda x, i: F.concat(x, (i - F.array_position(each, x)).cast("string")))
+
+
+def _jaro_winkler_bound() -> Column:
+    """What Jaro-Winkler can be at most, from the number of common letters."""
+    common = F.size(F.array_intersect("ql", "pl"))
+    jaro = F.when(common == 0, F.lit(0.0)).otherwise((common / F.size("ql") + common / F.size("pl") + 1) / 3)
+    return F.when(jaro <= 0.7, jaro).otherwise(jaro + 0.4 * (1 - jaro))
+
+
 def matches(names: DataFrame, entries: DataFrame, threshold: float, algorithms: Sequence[str] = DEFAULT_ALGORITHMS, name_col: str = "name") -> DataFrame:
     """name, entry_id, score (4 places) and algorithm of each name and entry from the threshold on.
 
@@ -36,6 +51,8 @@ def matches(names: DataFrame, entries: DataFrame, threshold: float, algorithms:
     distinct = names.select(F.col(name_col).alias("name")).where("name is not null").distinct()
     distinct = distinct.withColumn("q", plain_name_udf("name")).where("q <> ''")
     listed = prepared(entries)
+    if "jaro_winkler" in algorithms:
+        distinct, listed = distinct.withColumn("ql", _letters(F.col("q"))), listed.withColumn("pl", _letters(F.col("plain")))
     if set(algorithms) <= {"exact", "levenshtein"}:
         # 1 - d / longest >= t leaves lengths within the factor t; classes by the logarithm of t meet their neighbours only.
         step = F.lit(-1.0) * F.log(F.lit(max(0.05, min(threshold, 0.99))))
@@ -46,10 +63,15 @@ def matches(names: DataFrame, entries: DataFrame, threshold: float, algorithms:
         n = listed.count()
         listed = F.broadcast(listed) if n <= MAX_LIST else listed
         pairs = distinct.join(listed, F.lit(True))
-    scores = F.array(*[
-        F.struct(ALGORITHMS[a](F.col("q"), F.col("plain")).alias("s"), F.lit(-i).alias("o"), F.lit(a).alias("a")) for i, a in enumerate(algorithms)
-    ])
-    best = pairs.withColumn("best", F.array_max(scores)).where(F.col("best.s") >= threshold)
+    scored = {a: F.struct(ALGORITHMS[a](F.col("q"), F.col("plain")).alias("s"), F.lit(-i).alias("o"), F.lit(a).alias("a")) for i, a in enumerate(algorithms)}
+    slow = scored.pop("jaro_winkler", None)
+    none = F.array().cast("array<struct<s:double,o:int,a:string>>")
+    pairs = pairs.withColumn("best", F.array_max(F.array(*scored.values())) if scored else F.array_max(none))
+    if slow is not None:
+        reach = (F.col("best.s") >= threshold) | (_jaro_winkler_bound() >= threshold - 1e-9)
+        pairs = pairs.where(F.coalesce(reach, _jaro_winkler_bound() >= threshold - 1e-9))
+        pairs = pairs.withColumn("best", F.array_max(F.filter(F.array("best", slow), lambda x: x.isNotNull())))
+    best = pairs.where(F.col("best.s") >= threshold)
     best = best.select("name", "entry_id", "place", F.round("best.s", 4).alias("score"), F.col("best.a").alias("algorithm"))
     one = best.groupBy("name", "entry_id").agg(F.max(F.struct("score", (-F.col("place")).alias("o"), "algorithm")).alias("m"))
     return one.select("name", "entry_id", "m.score", "m.algorithm")

@@ -12,7 +12,7 @@ _L1 = """l1 AS (
 
 _L2 = """l2 AS (
   SELECT l_orderkey * 10 + l_linenumber AS id, o_custkey AS account_id, o_custkey AS customer_id, l_shipdate AS ts, l_extendedprice AS amount,
-    s_name AS counterparty, p_brand AS merchant, CASE WHEN l_returnflag = 'R' THEN 'in' ELSE 'out' END AS direction
+    s_name AS counterparty, p_brand AS merchant, CASE WHEN l_returnflag = 'R' THEN 'in' ELSE 'out' END AS direction, l_partkey AS part
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)"""
 
 _L4 = """a AS (
@@ -66,9 +66,11 @@ _EDGES = """e AS (
     SELECT 'account' AS src_type, account_id AS src_id, 'counterparty' AS dst_type, lower(trim(counterparty)) AS dst_key, ts FROM {src}
     UNION ALL SELECT 'account', account_id, 'merchant', lower(trim(merchant)), ts FROM {src}
     UNION ALL SELECT 'customer', customer_id, 'counterparty', lower(trim(counterparty)), ts FROM {src}) GROUP BY ALL)"""
-_RECENT = "r AS (SELECT * FROM l2 WHERE ts >= TIMESTAMP '2001-12-01' - INTERVAL 30 DAYS)"
+_RECENT = "r AS (SELECT * FROM l2 WHERE ts >= TIMESTAMP '2001-08-02' - INTERVAL 30 DAYS)"
+_L3 = "l3 AS (SELECT * REPLACE (counterparty || ' part ' || part AS counterparty) FROM l2)"
 _SUPPLY = f"{_L2}, {_RECENT}, {_EDGES.format(src='r')}, x AS (SELECT src_id AS account_id, dst_key, first_seen_at, last_seen_at, txn_count FROM e WHERE src_type = 'account' AND dst_type = 'counterparty')"
-_PROJECTED = f"{_SUPPLY}, p AS (SELECT DISTINCT a.account_id AS src, b.account_id AS dst FROM x a JOIN x b ON a.dst_key = b.dst_key AND a.account_id <> b.account_id)"
+_WHOLE = f"{_L2}, {_L3}, {_EDGES.format(src='l3')}, x AS (SELECT src_id AS account_id, dst_key, first_seen_at, last_seen_at, txn_count FROM e WHERE src_type = 'account' AND dst_type = 'counterparty')"
+_PROJECTED = f"{_WHOLE}, p AS (SELECT DISTINCT a.account_id AS src, b.account_id AS dst FROM x a JOIN x b ON a.dst_key = b.dst_key AND a.account_id <> b.account_id)"
 
 _LIST = "n AS (SELECT DISTINCT lower(p_name) AS name FROM part), q(entry) AS (VALUES ('cold widgit'), ('blew rod'), ('large bolts'), ('new rink'))"
 
@@ -119,7 +121,13 @@ _HOP = """hops AS (
 _PATHS = """walks AS (
   SELECT [(SELECT min(src) FROM p)] AS path
   UNION ALL SELECT list_append(path, p.dst) FROM walks JOIN p ON path[-1] = p.src
-  WHERE len(path) <= {hops} AND NOT list_contains(path, p.dst) AND path[-1] <> (SELECT max(src) FROM p))"""
+  WHERE len(path) <= {hops} AND NOT list_contains(path, p.dst) AND path[-1] <> (SELECT z FROM z))"""
+#: One path for each node, the least of the shortest, up to six hops: more than any two accounts of the small tables need.
+_LEVELS = "f0 AS (SELECT min(src) AS node, [min(src)] AS path FROM p), " + ", ".join(
+    f"f{i} AS (SELECT * FROM f{i - 1} UNION ALL SELECT dst, min(list_append(path, dst)) FROM f{i - 1} JOIN p ON node = src"
+    f" WHERE len(path) = {i} AND dst NOT IN (SELECT node FROM f{i - 1}) GROUP BY dst)"
+    for i in range(1, 7)
+)
 
 ORACLES: dict[str, str] = {
     "high_value_alerts": _rule("HighValueTransaction"), "keyword_alerts": _rule("SanctionsKeywordMatch"),
@@ -148,10 +156,10 @@ ORACLES: dict[str, str] = {
     "external_id": f"WITH {_L1} SELECT id, {_EXT} AS external_id FROM l1",
     "ingest_dedup": f"""WITH {_L1} SELECT min(id) AS id, account_id FROM l1 GROUP BY account_id, ts, amount, counterparty, direction""",
     "insert_if_absent": f"WITH {_L1} SELECT id, account_id, amount FROM l1 WHERE id % 4 = 1",
-    "build_edges": f"""WITH {_L2}, {_RECENT}, {_EDGES.format(src='r')} SELECT src_type, src_id, dst_type, dst_key, strftime(first_seen_at, '%Y-%m-%d') AS first_seen_at,
+    "build_edges": f"""WITH {_L2}, {_EDGES.format(src='l2')} SELECT src_type, src_id, dst_type, dst_key, strftime(first_seen_at, '%Y-%m-%d') AS first_seen_at,
       strftime(last_seen_at, '%Y-%m-%d') AS last_seen_at, txn_count::BIGINT AS txn_count FROM e""",
-    "edge_upsert": f"""WITH {_L2}, {_RECENT}, r60 AS (SELECT * FROM l2 WHERE ts >= TIMESTAMP '2001-12-01' - INTERVAL 60 DAYS), {_EDGES.format(src='r')},
-      {_EDGES.format(src='r60').replace('e AS', 'o AS', 1)} SELECT o.src_type, o.src_id, o.dst_type, o.dst_key, strftime(o.first_seen_at, '%Y-%m-%d') AS first_seen_at,
+    "edge_upsert": f"""WITH {_L2}, {_RECENT}, {_EDGES.format(src='r')},
+      {_EDGES.format(src='l2').replace('e AS', 'o AS', 1)} SELECT o.src_type, o.src_id, o.dst_type, o.dst_key, strftime(o.first_seen_at, '%Y-%m-%d') AS first_seen_at,
       coalesce(e.txn_count, o.txn_count)::BIGINT AS txn_count FROM o LEFT JOIN e USING (src_type, src_id, dst_type, dst_key)""",
     "ring_signal": f"""WITH {_SUPPLY}, j AS (SELECT a.account_id, b.account_id AS other, a.dst_key FROM x a JOIN x b ON a.dst_key = b.dst_key AND a.account_id <> b.account_id)
       SELECT account_id, count(DISTINCT other)::BIGINT AS linked, count(DISTINCT dst_key)::BIGINT AS overlap_count,
@@ -159,19 +167,30 @@ ORACLES: dict[str, str] = {
     "ring_alerts": f"""WITH {_SUPPLY}, j AS (SELECT a.account_id, b.account_id AS other, a.dst_key FROM x a JOIN x b ON a.dst_key = b.dst_key AND a.account_id <> b.account_id),
       k AS (SELECT account_id FROM j GROUP BY account_id HAVING count(DISTINCT other) >= 2 AND count(DISTINCT dst_key) >= 2)
       SELECT min(id) AS transaction_id, 'NetworkRingIndicator' AS rule_id, 40.0::DOUBLE AS score_delta FROM r JOIN k USING (account_id) GROUP BY account_id""",
-    "account_projection": f"""WITH {_SUPPLY} SELECT a.account_id AS src, b.account_id AS dst, sum(a.txn_count + b.txn_count)::BIGINT AS txn_count,
+    "account_projection": f"""WITH {_WHOLE} SELECT a.account_id AS src, b.account_id AS dst, sum(a.txn_count + b.txn_count)::BIGINT AS txn_count,
       array_to_string(list_sort(list(DISTINCT a.dst_key)), ',') AS shared, strftime(max(greatest(a.last_seen_at, b.last_seen_at)), '%Y-%m-%d') AS last_seen_at
       FROM x a JOIN x b ON a.dst_key = b.dst_key AND a.account_id <> b.account_id GROUP BY a.account_id, b.account_id""",
     "graph_nodes": f"""WITH {_L4} SELECT c_custkey AS account_id, c_name AS customer_name, coalesce((SELECT round(sum(o_totalprice), 2) FROM orders WHERE o_custkey = c_custkey), 0) AS total_amount,
-      (SELECT count(*) FROM a WHERE a.account_id = c_custkey AND severity = 'critical')::BIGINT AS alert_count FROM customer""",
-    "common_owners": f"""WITH {_L1}, t AS (SELECT DISTINCT account_id, customer_id FROM l1 WHERE account_id % 3 <> 2)
+      (SELECT count(*) FROM a WHERE a.account_id = c_custkey)::BIGINT AS alert_count FROM customer""",
+    "common_owners": f"""WITH {_L1}, t AS (SELECT DISTINCT account_id, customer_id FROM l1)
       SELECT customer_id, 'C' || customer_id AS customer_name, string_agg(account_id::VARCHAR, ',' ORDER BY account_id) AS account_ids FROM t GROUP BY customer_id HAVING count(*) >= 2""",
-    "ownership_links": f"""WITH {_SUPPLY} SELECT a.account_id, b.account_id AS linked_account, count(DISTINCT a.dst_key)::BIGINT AS shared_count
+    "account_neighbourhood": f"""WITH {_L2}, {_EDGES.format(src='l2')}, s AS (SELECT min(src_id) AS i FROM e WHERE src_type = 'account'),
+      k AS (SELECT src_id, dst_key FROM e WHERE src_type = 'account' AND dst_type = 'counterparty' AND last_seen_at >= TIMESTAMP '2001-08-02' - INTERVAL 30 DAYS),
+      j AS (SELECT a.dst_key, b.src_id AS other FROM k a JOIN k b ON a.dst_key = b.dst_key AND a.src_id <> b.src_id WHERE a.src_id = (SELECT i FROM s)),
+      g AS (SELECT count(DISTINCT dst_key)::BIGINT AS overlap_count, count(DISTINCT other)::BIGINT AS linked FROM j)
+      SELECT row_number() OVER (ORDER BY dst_type, dst_key)::BIGINT AS place, dst_type, dst_key, txn_count::BIGINT AS txn_count, overlap_count, linked,
+      (SELECT count(*) FROM k WHERE src_id = (SELECT i FROM s))::BIGINT AS degree FROM e, g WHERE src_type = 'account' AND src_id = (SELECT i FROM s)""",
+    "ownership_chain": f"""WITH {_WHOLE}, o AS (SELECT a.account_id, b.account_id AS linked_account, count(DISTINCT a.dst_key)::BIGINT AS shared_count
+      FROM x a JOIN x b ON a.dst_key = b.dst_key AND a.account_id <> b.account_id GROUP BY ALL HAVING count(DISTINCT a.dst_key) >= 2), s AS (SELECT min(account_id) AS i FROM o),
+      u AS (SELECT i AS linked_account, 'direct_owner' AS relation, 0::BIGINT AS shared_count FROM s
+      UNION ALL SELECT linked_account, 'shared_counterparties', shared_count FROM o WHERE account_id = (SELECT i FROM s))
+      SELECT linked_account, c_custkey AS customer_id, c_name AS customer_name, relation, shared_count FROM u JOIN customer ON c_custkey = linked_account""",
+    "ownership_links": f"""WITH {_WHOLE} SELECT a.account_id, b.account_id AS linked_account, count(DISTINCT a.dst_key)::BIGINT AS shared_count
       FROM x a JOIN x b ON a.dst_key = b.dst_key AND a.account_id <> b.account_id GROUP BY ALL HAVING count(DISTINCT a.dst_key) >= 2""",
     "khop_subgraph": f"WITH RECURSIVE {_PROJECTED}, {_HOP} SELECT node, min(hop)::BIGINT AS hop FROM hops GROUP BY node",
-    "shortest_path": f"""WITH RECURSIVE {_PROJECTED}, {_PATHS.format(hops=4)}, f AS (SELECT path FROM walks WHERE path[-1] = (SELECT max(src) FROM p))
-      SELECT array_to_string(path, ',') AS path FROM f ORDER BY len(path), path LIMIT 1""",
-    "simple_paths": f"WITH RECURSIVE {_PROJECTED}, {_PATHS.format(hops=4)} SELECT array_to_string(path, ',') AS path FROM walks WHERE path[-1] = (SELECT max(src) FROM p)",
+    "shortest_path": f"""WITH {_PROJECTED}, {_LEVELS} SELECT array_to_string(path, ',') AS path FROM f6 WHERE node = (SELECT max(src) FROM p)""",
+    "simple_paths": f"""WITH RECURSIVE {_PROJECTED}, {_HOP}, z AS (SELECT max(node) AS z FROM hops), {_PATHS.format(hops=3)}
+      SELECT array_to_string(path, ',') AS path FROM walks WHERE path[-1] = (SELECT z FROM z)""",
     "money_flow_edges": f"""WITH {_L2}, t AS (SELECT account_id, lower(trim(counterparty)) AS counterparty, round(sum(amount), 2) AS total_amount, count(*)::BIGINT AS txn_count
       FROM l2 WHERE direction = 'out' AND ts >= TIMESTAMP '2001-12-01' - INTERVAL 90 DAYS GROUP BY ALL)
       SELECT t.*, coalesce(s_suppkey + 1000000, -1)::BIGINT AS to_account FROM t LEFT JOIN supplier ON lower(s_name) = counterparty""",

@@ -15,7 +15,7 @@ from ledgerwatch.operators import features, graph, lifecycle, paging, reporting,
 from ledgerwatch.plans import rule_pack
 from ledgerwatch.schemas import NAME_LIST
 from ledgerwatch.sources import ledger_files
-from ledgerwatch.sources.adapters import alerts_of_orders, cases_of_customers, ledger_events, ledger_lineitem, ledger_orders, table
+from ledgerwatch.sources.adapters import alerts_of_orders, cases_of_customers, ledger_deliveries, ledger_events, ledger_lineitem, ledger_orders, table
 from ledgerwatch.sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,8 @@ CONFIG = merged(DEFAULTS, {"rules": {
 #: Ends of the data, for lookbacks.
 EVENTS_END = datetime(2024, 1, 31)
 SHIP_END = datetime(2001, 12, 1)
+#: Rings are asked for at the end of orders, when lines still ship.
+RING_AT = datetime(2001, 8, 2)
 ORDERS_END = datetime(2001, 8, 2)
 
 LISTED = ["cold widgit", "blew rod", "large bolts", "new rink"]
@@ -135,9 +137,14 @@ def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger_files.insert_if_absent(t, t.where("id % 4 <> 1"), "id").select("id", "account_id", "amount")
 
 
-def _supply_edges(spark: SparkSession, sf_dir: str, days: int = 30) -> DataFrame:
-    """Edges of order lines, the lookback put on lines: a line within it is an edge within it."""
-    return graph.build_edges(graph.since(ledger_lineitem(spark, sf_dir), "ts", at(SHIP_END), days))
+def _supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of all order lines."""
+    return graph.build_edges(ledger_lineitem(spark, sf_dir))
+
+
+def _pairs_of_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src and dst of the projection of all deliveries, cut where loops start from it."""
+    return graph.projection(graph.build_edges(ledger_deliveries(spark, sf_dir))).select("src", "dst")
 
 
 def build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,32 +154,40 @@ def build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = _supply_edges(spark, sf_dir, 60)
-    out = graph.upsert_edges(old, _supply_edges(spark, sf_dir, 30))
+    new = graph.build_edges(graph.since(ledger_lineitem(spark, sf_dir), "ts", at(RING_AT), 30))
+    out = graph.upsert_edges(_supply_edges(spark, sf_dir), new)
     return out.select("src_type", "src_id", "dst_type", "dst_key", F.date_format("first_seen_at", "yyyy-MM-dd").alias("first_seen_at"), "txn_count")
 
 
 def ring_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = graph.ring_signals(_supply_edges(spark, sf_dir), at(SHIP_END))
+    s = graph.ring_signals(_supply_edges(spark, sf_dir), at(RING_AT))
     return s.select("account_id", F.size("linked_accounts").cast("bigint").alias("linked"), F.col("overlap_count").cast("bigint").alias("overlap_count"), "degree", joined("shared_counterparties").alias("shared"))
 
 
 def ring_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = graph.since(ledger_lineitem(spark, sf_dir), "ts", at(SHIP_END), 30)
-    hits = rule_pack.ring_hits(t, at(SHIP_END), CONFIG["rules"]["network_ring"])
+    t = graph.since(ledger_lineitem(spark, sf_dir), "ts", at(RING_AT), 30)
+    hits = rule_pack.ring_hits(t, at(RING_AT), CONFIG["rules"]["network_ring"])
     return hits.select("transaction_id", F.col("ring")[0]["rule_id"].alias("rule_id"), F.col("ring")[0]["score_delta"].alias("score_delta"))
 
 
 def account_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = graph.projection(_supply_edges(spark, sf_dir))
+    p = graph.projection(graph.build_edges(ledger_deliveries(spark, sf_dir)))
     return p.select("src", "dst", "txn_count", joined("shared_counterparties").alias("shared"), F.date_format("last_seen_at", "yyyy-MM-dd").alias("last_seen_at"))
 
 
+def account_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of the account of the least id, in their order, and its ring."""
+    e = _supply_edges(spark, sf_dir)
+    start = e.where("src_type = 'account'").agg(F.min("src_id")).first()[0]
+    out = graph.neighbourhood(e, start, at(RING_AT))
+    return out.select("place", "dst_type", "dst_key", "txn_count", F.col("overlap_count").cast("bigint").alias("overlap_count"), F.col("linked").cast("bigint").alias("linked"), "degree")
+
+
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     accounts = c.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("iban_or_acct"))
     customers = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("string").alias("country"), F.lit(10.0).alias("base_risk"))
-    n = graph.nodes(accounts, customers, ledger_orders(spark, sf_dir), alerts_of_orders(spark, sf_dir).where("severity = 'critical'").select("id", "transaction_id"))
+    n = graph.nodes(accounts, customers, ledger_orders(spark, sf_dir), alerts_of_orders(spark, sf_dir).select("id", "transaction_id"))
     return n.select("account_id", "customer_name", F.round("total_amount", 2).alias("total_amount"), "alert_count")
 
 
@@ -185,30 +200,42 @@ def _event_accounts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
 def common_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     accounts, customers = _event_accounts(spark, sf_dir)
-    ids = accounts.where("id % 3 <> 2").select(F.col("id").alias("account_id"))
+    ids = accounts.select(F.col("id").alias("account_id"))
     return graph.common_owners(accounts, customers, ids).select("customer_id", "customer_name", joined("account_ids").alias("account_ids"))
 
 
 def ownership_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.ownership_links(_supply_edges(spark, sf_dir))
+    return graph.ownership_links(graph.build_edges(ledger_deliveries(spark, sf_dir)))
+
+
+def ownership_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The owners around the account of the least id that has a link."""
+    e = graph.build_edges(ledger_deliveries(spark, sf_dir))
+    start = graph.ownership_links(e).agg(F.min("account_id")).first()[0]
+    c = table(spark, sf_dir, "customer")
+    accounts = c.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("customer_id"))
+    out = graph.ownership_chain(e, accounts, c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), start)
+    return out.select("linked_account", "customer_id", "customer_name", "relation", "shared_count")
 
 
 def khop_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = graph.projection(_supply_edges(spark, sf_dir)).select("src", "dst")
+    p = _pairs_of_accounts(spark, sf_dir)
     start = p.agg(F.min("src")).first()[0]
     return graph.k_hop(p, start, 2).select("node", F.col("hop").cast("bigint").alias("hop"))
 
 
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = graph.projection(_supply_edges(spark, sf_dir)).select("src", "dst")
+    p = _pairs_of_accounts(spark, sf_dir)
     low, high = p.agg(F.min("src"), F.max("src")).first()
     return graph.shortest_path(p, low, high).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
 
 
 def simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = graph.projection(_supply_edges(spark, sf_dir)).select("src", "dst")
-    low, high = p.agg(F.min("src"), F.max("src")).first()
-    return graph.simple_paths(p, low, high, 4).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
+    """Paths of three edges at most, from the least node to the largest one that is two hops away at most."""
+    p = _pairs_of_accounts(spark, sf_dir)
+    low = p.agg(F.min("src")).first()[0]
+    high = graph.k_hop(p, low, 2).agg(F.max("node")).first()[0]
+    return graph.simple_paths(p, low, high, 3).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
 
 
 def money_flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,15 +246,15 @@ def money_flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.label_propagation(graph.projection(_supply_edges(spark, sf_dir)).select("src", "dst"))
+    return graph.label_propagation(_pairs_of_accounts(spark, sf_dir))
 
 
 def louvain_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.louvain(graph.projection(_supply_edges(spark, sf_dir)).select("src", "dst"))
+    return graph.louvain(_pairs_of_accounts(spark, sf_dir))
 
 
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.connected(graph.projection(_supply_edges(spark, sf_dir)).select("src", "dst"))
+    return graph.connected(_pairs_of_accounts(spark, sf_dir))
 
 
 def suspicious_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -443,7 +470,7 @@ QUERIES: dict[str, Query] = {
 } | {f.__name__: f for f in (
     rule_pack_alerts, risk_scores, risk_band_counts, stateless_scores, score_v2_profiles, temporal_decay, customer_risk_profile, ingest_normalize,
     ingest_rejects, external_id, ingest_dedup, insert_if_absent, build_edges, edge_upsert, ring_signal, ring_alerts, account_projection, graph_nodes,
-    common_owners, ownership_links, khop_subgraph, shortest_path, simple_paths, money_flow_edges, label_propagation, louvain_communities,
+    account_neighbourhood, common_owners, ownership_links, ownership_chain, khop_subgraph, shortest_path, simple_paths, money_flow_edges, label_propagation, louvain_communities,
     connected_components, suspicious_communities, fuzzy_levenshtein, fuzzy_jaro_winkler, phonetic_match, name_screening, pep_screening, feature_matrix,
     online_features, anomaly_scores, tune_thresholds, tune_velocity, kpi_summary, kpi_by_severity, kpi_by_disposition, kpi_trend, kpi_backlog,
     kpi_top_rules, overdue_cases, timeline_metrics, sar_rollup, sar_flat, chain_verify, audit_summary, alerts_page, case_view, case_moves, run_bundle,

@@ -34,10 +34,16 @@ def ledger_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("o_custkey").alias("account_id"),
         F.col("o_custkey").alias("customer_id"), F.col("l_shipdate").cast("timestamp").alias("ts"),
         F.col("l_extendedprice").alias("amount"), F.col("s_name").alias("counterparty"), F.col("p_brand").alias("merchant"),
-        F.when(F.col("l_returnflag") == "R", "in").otherwise("out").alias("direction"),
+        F.when(F.col("l_returnflag") == "R", "in").otherwise("out").alias("direction"), F.col("l_partkey").alias("part"),
     )
 
 
+def ledger_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as transactions between customers and a supplier's part: all of them, and sparse enough for paths."""
+    c = F.concat("counterparty", F.lit(" part "), F.col("part").cast("string"))
+    return ledger_lineitem(spark, sf_dir).withColumn("counterparty", c)
+
+
 def ledger_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as transactions of day grain."""
     return table(spark, sf_dir, "orders").select(

@@ -16,9 +16,9 @@ from ledgerwatch.sources import columns
 JSON_SCHEMA = ", ".join(f"{f} string" for f in (*columns.FIELDS, "_corrupt_record"))
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """All columns as text; quoted fields may span lines."""
-    return spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).option("escape", '"').csv(path)
+def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", multi_line: bool = False) -> DataFrame:
+    """All columns as text. Files are read in parts, unless multi_line says that quoted fields span lines."""
+    return spark.read.option("header", True).option("encoding", encoding).option("multiLine", multi_line).option("escape", '"').csv(path)
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -51,11 +51,15 @@ def normalized(df: DataFrame, mapping: Mapping[str, str], json_lines: bool = Fal
     by_field = {v: k for k, v in mapping.items()}
     get = lambda f: stripped(_field(df, by_field, f))
     cut = lambda c, n: F.substring(c, 1, n)
-    ts = parsing.json_time(get("ts")) if json_lines else parsing.csv_time(get("ts"))
-    amount = parsing.amount(_field(df, by_field, "amount"), "minor" in by_field.get("amount", "").lower())
+    # Parsed once, in a projection that filters on its columns don't pass.
+    once = lambda c: F.when(F.spark_partition_id() >= 0, c)
+    time = parsing.json_time(get("ts")) if json_lines else parsing.csv_time(get("ts"))
+    number = parsing.amount(_field(df, by_field, "amount"), "minor" in by_field.get("amount", "").lower())
+    raw, df = df.columns, df.withColumns({"__ts": once(time), "__amount": once(number)})
+    ts, amount = F.col("__ts"), F.col("__amount")
     country = cut(F.coalesce(get("country"), F.lit("XXX")), 3)
     there = get("country_txn") if "country_txn" in by_field else F.lit(None).cast("string")
-    own = None if json_lines else columns.id_header(df.columns)
+    own = None if json_lines else columns.id_header(raw)
     source_id = F.lit(None).cast("string") if own is None else stripped(F.col(f"`{own}`"))
     bad = F.col("_corrupt_record").isNotNull() if "_corrupt_record" in df.columns else F.lit(False)
     reason = (
