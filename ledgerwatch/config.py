@@ -34,7 +34,7 @@ DEFAULTS: dict[str, Any] = {
         },
         "sanctions_screening": {
             "enabled": False, "threshold": 0.85, "pep_threshold": 0.8, "algorithms": ["exact", "levenshtein", "jaro_winkler", "phonetic"],
-            "score_delta": 30.0,
+            "score_delta": 30.0, "keywords": [],
         },
         "ml_anomaly": {"enabled": False, "threshold": 0.7, "severity": "medium", "score_delta": 20.0},
     },

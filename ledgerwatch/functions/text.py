@@ -27,12 +27,8 @@ NAME_WORDS: dict[str, str] = {
     "junior": "jr",
     "senior": "sr",
     "saint": "st",
-    "robert": "robert",
-    "william": "william",
-    "alexander": "alexander",
     "abdel": "abd",
     "abdul": "abd",
-    "bin": "bin",
     "ibn": "bin",
 }
 
@@ -117,12 +113,38 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).when((F.char_length(a) == 0) | (F.char_length(b) == 0), F.lit(0.0)).otherwise(near)
 
 
+# Metaphone as replacements in this order: small letters are still to be coded, capitals and 0 are codes.
+_METAPHONE = (
+    (r"[^a-z]", ""), (r"([abd-z])\1+", "$1"), (r"^[kgp](?=n)|^w(?=r)|^a(?=e)", ""), (r"^x", "s"), (r"^wh", "w"), (r"(?<=m)b$", ""),
+    (r"tch", "ch"), (r"sch", "SK"), (r"c(?=ia)|ch", "X"), (r"c(?=[iey])", "S"), (r"ck?|k", "K"), (r"dg(?=[iey])", "J"), (r"d", "T"),
+    (r"gn(?=$|ed$)", "N"), (r"gh(?=[^aeiou])", ""), (r"g(?=[iey])", "J"), (r"gh?|q", "K"), (r"ph|v", "F"), (r"sh|[st](?=i[oa])", "X"),
+    (r"th", "0"), (r"x", "KS"), (r"z", "S"), (r"(?<=[aeiou])h(?![aeiou])|[wy](?![aeiou])", ""), (r"(?<!^)[aeiou]", ""),
+)
+
+
+def metaphone(word: Column) -> Column:
+    """How a word in small letters sounds, by the original Metaphone; the empty string without a letter from a to z."""
+    for pattern, code in _METAPHONE:
+        word = F.regexp_replace(word, pattern, code)
+    return F.upper(word)
+
+
+def sounds(c: Column) -> Column:
+    """Soundex (s) and Metaphone (m) of each word of a plain name; null where a word has none."""
+    words = F.array_remove(F.split(c, " "), "")
+    coded = lambda w: F.struct(F.nullif(F.soundex(w), F.lit("")).alias("s"), F.nullif(metaphone(w), F.lit("")).alias("m"))
+    return F.transform(words, coded)
+
+
+def heard(mine: Column, theirs: Column) -> Column:
+    """The share of words in mine that a word of theirs sounds like, by Soundex or by Metaphone; both from sounds()."""
+    alike = F.filter(mine, lambda x: F.exists(theirs, lambda y: F.coalesce((x["s"] == y["s"]) | (x["m"] == y["m"]), F.lit(False))))
+    return F.when((F.size(mine) == 0) | (F.size(theirs) == 0), F.lit(0.0)).otherwise(F.size(alike) / F.size(mine))
+
+
 def phonetic_similarity(a: Column, b: Column) -> Column:
-    """The share of the words of a that sound like a word of b."""
-    split = lambda c: F.array_remove(F.split(c, " "), "")
-    mine, theirs = split(a), F.transform(split(b), lambda w: F.soundex(w))
-    heard = F.size(F.filter(mine, lambda w: F.array_contains(theirs, F.soundex(w))))
-    return F.when((F.size(mine) == 0) | (F.size(theirs) == 0), F.lit(0.0)).otherwise(heard / F.size(mine))
+    """heard() of two plain names."""
+    return heard(sounds(a), sounds(b))
 
 
 #: Similarities by name, each a function of two columns of plain names.

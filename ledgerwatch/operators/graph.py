@@ -8,7 +8,10 @@ to AQE's skew splitting.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping
 from itertools import count
+from typing import TextIO
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -447,6 +450,15 @@ def d3(node_rows: DataFrame, edges: DataFrame, members: DataFrame | None = None,
     return n.select(F.to_json(F.struct(*n.columns)).alias("json")), links.select(F.to_json(F.struct(*links.columns)).alias("json"))
 
 
+def assembled(parts: Mapping[str, DataFrame], out: TextIO) -> None:
+    """One JSON object of lists, such as {nodes, links}, from frames of JSON lines, row by row."""
+    for i, (name, rows) in enumerate(parts.items()):
+        out.write(("{" if i == 0 else "],") + json.dumps(name) + ":[")
+        for j, (line,) in enumerate(rows.select("json").toLocalIterator()):
+            out.write(("," if j else "") + line)
+    out.write("]}")
+
+
 def cytoscape(node_rows: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges as {data: ...} JSON lines with ids as text."""
     n = node_rows.withColumn("id", F.col("account_id").cast("string"))

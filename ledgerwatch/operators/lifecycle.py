@@ -6,7 +6,7 @@ import contextvars
 import hashlib
 import json
 import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from contextlib import contextmanager
 from datetime import datetime, timezone
 from typing import Any
@@ -14,6 +14,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerwatch.schemas import AUDIT_LOGS, TABLES
+from ledgerwatch.sources.store import Store
+
 # States and the moves between them.
 CASE_MOVES: dict[str, tuple[str, ...]] = {
     "NEW": ("INVESTIGATING", "ESCALATED", "CLOSED"), "INVESTIGATING": ("ESCALATED", "CLOSED"), "ESCALATED": ("CLOSED",), "CLOSED": (),
@@ -37,6 +40,14 @@ def acting(actor: str = "system", correlation_id: str | None = None):
         _run.reset(b)
 
 
+def current_actor() -> str:
+    return _actor.get()
+
+
+def current_run() -> str | None:
+    return _run.get()
+
+
 def may_move(old: str, new: str) -> bool:
     return new in CASE_MOVES.get(old, ())
 
@@ -103,6 +114,65 @@ def audit(action: str, entity_type: str, entity_id: Any, ts: datetime, details:
     return {"correlation_id": _run.get(), "action": action, "entity_type": entity_type, "entity_id": str(entity_id), "ts": ts, "actor": _actor.get(), "details": dict(details or {})}
 
 
+def log(store: Store, rows: Sequence[Mapping[str, Any]]) -> None:
+    """Appends audit rows to the store's log, chained behind its last row. One writer at a time, as ids and hashes follow one another."""
+    logs = store.read("audit_logs")
+    last = logs.agg(F.max("id"), F.max_by("row_hash", "id")).first()
+    out = []
+    for i, r in enumerate(chained(rows, last[1]), (last[0] or 0) + 1):
+        out.append({**{k: v for k, v in r.items() if k != "details"}, "id": i, "details_json": json.dumps(r["details"], sort_keys=True, default=str)})
+    spark = logs.sparkSession
+    store.append("audit_logs", spark.createDataFrame([tuple(r.get(c) for c in logs.columns) for r in out], AUDIT_LOGS))
+
+
+def _add(store: Store, name: str, rows: list[dict[str, Any]]) -> list[int]:
+    """Appends rows to a table under new ids; returns the ids."""
+    there = store.read(name)
+    top = there.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    ids = list(range(top + 1, top + 1 + len(rows)))
+    if rows:
+        store.append(name, there.sparkSession.createDataFrame([tuple({**r, "id": i}.get(c) for c in there.columns) for i, r in zip(ids, rows, strict=True)], TABLES[name]))
+    return ids
+
+
+def create_case(
+    store: Store, now: datetime, alert_ids: Sequence[int] = (), transaction_ids: Sequence[int] = (), note: str | None = None,
+    priority: str = "MEDIUM", assigned_to: str | None = None,
+) -> int:
+    """A new case with items and a first note, each with its audit row; returns its id."""
+    if priority not in PRIORITIES:
+        raise ValueError(f"priority must be one of {', '.join(PRIORITIES)}")
+    who = {"created_at": now, "correlation_id": _run.get(), "actor": _actor.get()}
+    (case,) = _add(store, "cases", [{**who, "status": "NEW", "priority": priority, "assigned_to": assigned_to}])
+    held = [{"alert_id": a} for a in alert_ids] + [{"transaction_id": t} for t in transaction_ids]
+    items = _add(store, "case_items", [{**h, "case_id": case, "created_at": now} for h in held])
+    rows = [audit("case_create", "case", case, now, {"priority": priority})]
+    rows += [audit("case_item_add", "case", case, now, {"case_item_id": i, **h}) for i, h in zip(items, held, strict=True)]
+    log(store, rows)
+    if note:
+        add_note(store, case, note, now)
+    return case
+
+
+def add_note(store: Store, case: int, note: str, now: datetime) -> int:
+    """A note on a case that is there, with its audit row; returns the note's id."""
+    if store.read("cases").where(F.col("id") == case).isEmpty():
+        raise KeyError(case)
+    (id_,) = _add(store, "case_notes", [{"case_id": case, "note": note, "created_at": now, "actor": _actor.get(), "correlation_id": _run.get()}])
+    log(store, [audit("case_note_add", "case", case, now, {"case_note_id": id_})])
+    return id_
+
+
+def change_case(store: Store, case: int, now: datetime, **changes: Any) -> None:
+    """update_case() in the store, with an audit row of old and new values."""
+    cases = store.read("cases")
+    old = cases.where(F.col("id") == case).first()
+    if old is None:
+        raise KeyError(case)
+    store.replace("cases", update_case(cases, case, F.lit(now), **changes, correlation_id=_run.get(), actor=_actor.get()).select(*cases.columns))
+    log(store, [audit("case_update", "case", case, now, {f"{w}_{k}": v for k, new in changes.items() for w, v in (("old", old[k]), ("new", new))})])
+
+
 def verified_chain(rows: Iterable[Mapping[str, Any]], seed: str | None = None) -> list[int]:
     """Places of rows whose link or hash is wrong; the first row must follow seed."""
     bad, last = [], seed

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Mapping
+from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_PAGE = 1000
@@ -46,6 +47,13 @@ def equal_to(df: DataFrame, **values) -> DataFrame:
     return df
 
 
+def between(df: DataFrame, col: str, start: Column | datetime | None = None, end: Column | datetime | None = None) -> DataFrame:
+    """Rows from start to end, both included; an end of None is open."""
+    if start is not None:
+        df = df.where(F.col(col) >= start)
+    return df if end is None else df.where(F.col(col) <= end)
+
+
 def find(df: DataFrame, id_: int, id_col: str = "id"):
     """The row of an id; KeyError without one."""
     row = df.where(F.col(id_col) == id_).first()

@@ -7,13 +7,16 @@ import io
 import json
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from datetime import datetime
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerwatch.sources.shared import ranged
+
 # Filing deadlines in days, usual and with an extension.
 DEADLINES: dict[str, tuple[int, int]] = {"fincen": (30, 60), "fca": (15, 30), "amld": (30, 45)}
 OPEN = ("NEW", "INVESTIGATING", "ESCALATED")
@@ -145,11 +148,11 @@ def chain_breaks(logs: DataFrame) -> DataFrame:
     last of the range before, so no task holds the whole log.
     """
     rows = logs.where("row_hash is not null").select("id", "prev_hash", "row_hash")
-    ranged = rows.repartitionByRange("id").withColumn("part", F.spark_partition_id())
+    parts = ranged(rows, "id", "part")
     inside = Window.partitionBy("part").orderBy("id")
-    ends = ranged.groupBy("part").agg(F.max_by("row_hash", "id").alias("end"))
+    ends = parts.groupBy("part").agg(F.max_by("row_hash", "id").alias("end"))
     before = ends.select("part", F.lag("end").over(Window.orderBy("part")).alias("end_before"))
-    j = ranged.withColumn("lagged", F.lag("row_hash").over(inside)).join(F.broadcast(before), "part")
+    j = parts.withColumn("lagged", F.lag("row_hash").over(inside)).join(F.broadcast(before), "part")
     j = j.withColumn("expected", F.coalesce("lagged", "end_before"))
     return j.where(~F.col("prev_hash").eqNullSafe(F.col("expected"))).select("id", "prev_hash", "expected")
 
@@ -193,34 +196,80 @@ def audit_zip(frames: Mapping[str, DataFrame], summary: Mapping[str, Any]) -> by
     return out.getvalue()
 
 
-def sar_document(case_row: Mapping[str, Any], filer: Mapping[str, str], narrative: str = "") -> dict[str, Any]:
-    """The SAR of one case from its roll-up."""
+def write_sar_report(alerts: DataFrame, txns: DataFrame, folder: str, now: datetime, evidence: bool = True) -> DataFrame:
+    """sar_flat() with reason and evidence below folder, in order of creation: alerts.json (lines), alerts.csv without evidence, generated_at.json.
+
+    Files are written by the executors, one folder each, so their size doesn't matter.
+    """
+    t = txns.select(F.col("id").alias("transaction_id"), *[c for c in ("amount", "currency", "ts", "account_id", "counterparty", "country") if c in txns.columns])
+    hours = F.when(F.col("updated_at").isNotNull(), F.round(days_between(F.col("created_at"), F.col("updated_at")) * 24, 2)).alias("hours_to_disposition")
+    own = [F.col("id").alias("alert_id"), "transaction_id", "rule_id", "severity", "reason", "evidence_fields", "created_at", "updated_at", hours]
+    mine = alerts.select(*own)
+    out = mine.join(t, "transaction_id").select(*mine.columns, *t.columns[1:]).orderBy("created_at", "alert_id")
+    plain = out.drop("evidence_fields")
+    (out.withColumnRenamed("evidence_fields", "evidence") if evidence else plain).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/alerts.json")
+    plain.write.mode("overwrite").option("header", True).csv(f"{folder}/alerts.csv")
+    alerts.sparkSession.createDataFrame([(now.isoformat(),)], "generated_at string").coalesce(1).write.mode("overwrite").json(f"{folder}/generated_at.json")
+    return out
+
+
+def sar_document(
+    case_row: Mapping[str, Any], filer: Mapping[str, str], narrative: str = "", subject: Mapping[str, Any] | None = None, report_id: str = "",
+    filing_type: str = "INITIAL", alert_ids: Sequence[int] = (), now: datetime | None = None,
+) -> dict[str, Any]:
+    """The SAR of one case from its roll-up, in the fields of an electronic filing."""
+    day = lambda t: t.isoformat() if isinstance(t, datetime) else t
+    who = {"name": "", "country": "", "account_numbers": [str(a) for a in case_row["account_ids"] or []], **(subject or {})}
+    rules = list(case_row["rule_ids"] or [])
     return {
-        "report_type": "SAR", "case_id": case_row["case_id"], "filing_institution": dict(filer),
-        "activity": {
-            "total_amount": case_row["total_amount"], "from": str(case_row["period_start"]), "to": str(case_row["period_end"]),
-            "channels": list(case_row["channels"] or []), "rules": list(case_row["rule_ids"] or []), "transactions": case_row["txn_count"],
+        "report_id": report_id, "filing_type": filing_type, "filer": {"name": "", "ein": "", "address": "", **filer}, "subject": who,
+        "suspicious_activity": {
+            "description": f"{case_row['txn_count']} transactions, rules: {', '.join(rules)}", "total_amount": case_row["total_amount"],
+            "date_range_start": day(case_row["period_start"]), "date_range_end": day(case_row["period_end"]),
+            "instruments": list(case_row["channels"] or []), "activity_types": rules,
         },
-        "subjects": [{"account_id": a} for a in case_row["account_ids"] or []], "narrative": narrative,
+        "narrative": narrative, "case_id": case_row["case_id"], "alert_ids": list(alert_ids), "generated_at": day(now),
     }
 
 
-def to_xml(document: Mapping[str, Any], root: str = "SARReport") -> str:
-    def put(parent: ET.Element, name: str, value: Any) -> None:
-        e = ET.SubElement(parent, name)
-        if isinstance(value, Mapping):
-            for k, v in value.items():
-                put(e, k, v)
-        elif isinstance(value, list):
-            for v in value:
-                put(e, "item", v)
-        else:
-            e.text = "" if value is None else str(value)
-
-    top = ET.Element(root)
-    for k, v in document.items():
-        put(top, k, v)
-    return ET.tostring(top, encoding="unicode")
+# The filing's elements and the fields of a document that fill them; a list's element and its items' are joined by a slash.
+FILING = {
+    "FilingInfo": {"ReportID": "report_id", "FilingType": "filing_type", "GeneratedAt": "generated_at"},
+    "Filer": {"Name": "filer.name", "EIN": "filer.ein", "Address": "filer.address"},
+    "Subject": {"Name": "subject.name", "Country": "subject.country", "AccountNumbers/Account": "subject.account_numbers"},
+    "SuspiciousActivity": {
+        "Description": "suspicious_activity.description", "TotalAmount": "suspicious_activity.total_amount",
+        "DateRangeStart": "suspicious_activity.date_range_start", "DateRangeEnd": "suspicious_activity.date_range_end",
+        "Instruments/Instrument": "suspicious_activity.instruments", "ActivityTypes/Type": "suspicious_activity.activity_types",
+    },
+    "Narrative": "narrative",
+    "References": {"CaseID": "case_id", "/AlertID": "alert_ids"},
+}
+FILING_ROOT, FILING_SPACE = "BSAReport", "https://www.fincen.gov/bsa"
+
+
+def to_xml(document: Mapping[str, Any], shape: Mapping[str, Any] = FILING) -> str:
+    """A document of sar_document() as XML; elements without a value are left out, amounts have two places."""
+
+    def put(parent: ET.Element, elements: Mapping[str, Any]) -> None:
+        for name, source in elements.items():
+            if isinstance(source, Mapping):
+                put(ET.SubElement(parent, name), source)
+                continue
+            value: Any = document
+            for part in source.split("."):
+                value = value[part]
+            outer, slash, inner = name.partition("/")
+            if slash:
+                holder = ET.SubElement(parent, outer) if outer else parent
+                for v in value:
+                    ET.SubElement(holder, inner).text = str(v)
+            elif value is not None:
+                ET.SubElement(parent, name).text = f"{value:.2f}" if isinstance(value, float) else str(value)
+
+    top = ET.Element(FILING_ROOT, xmlns=FILING_SPACE)
+    put(top, shape)
+    return ET.tostring(top, encoding="unicode", xml_declaration=True)
 
 
 def recommendation(mean_score: float, severities: Mapping[str, int]) -> str:

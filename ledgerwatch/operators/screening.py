@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwatch.functions.text import ALGORITHMS, plain_name_udf
+from ledgerwatch.functions.text import ALGORITHMS, heard, plain_name_udf, sounds
 
 #: A list of more rows (aliases included) isn't broadcast.
 MAX_LIST = 200_000
@@ -53,6 +53,10 @@ def matches(names: DataFrame, entries: DataFrame, threshold: float, algorithms:
     listed = prepared(entries)
     if "jaro_winkler" in algorithms:
         distinct, listed = distinct.withColumn("ql", _letters(F.col("q"))), listed.withColumn("pl", _letters(F.col("plain")))
+    if "phonetic" in algorithms:
+        # Coded once a name, not once a pair.
+        distinct, listed = distinct.withColumn("qs", sounds(F.col("q"))), listed.withColumn("ps", sounds(F.col("plain")))
+    score = lambda a: heard(F.col("qs"), F.col("ps")) if a == "phonetic" else ALGORITHMS[a](F.col("q"), F.col("plain"))
     if set(algorithms) <= {"exact", "levenshtein"}:
         # 1 - d / longest >= t leaves lengths within the factor t; classes by the logarithm of t meet their neighbours only.
         step = F.lit(-1.0) * F.log(F.lit(max(0.05, min(threshold, 0.99))))
@@ -63,7 +67,7 @@ def matches(names: DataFrame, entries: DataFrame, threshold: float, algorithms:
         n = listed.count()
         listed = F.broadcast(listed) if n <= MAX_LIST else listed
         pairs = distinct.join(listed, F.lit(True))
-    scored = {a: F.struct(ALGORITHMS[a](F.col("q"), F.col("plain")).alias("s"), F.lit(-i).alias("o"), F.lit(a).alias("a")) for i, a in enumerate(algorithms)}
+    scored = {a: F.struct(score(a).alias("s"), F.lit(-i).alias("o"), F.lit(a).alias("a")) for i, a in enumerate(algorithms)}
     slow = scored.pop("jaro_winkler", None)
     none = F.array().cast("array<struct<s:double,o:int,a:string>>")
     pairs = pairs.withColumn("best", F.array_max(F.array(*scored.values())) if scored else F.array_max(none))
@@ -85,8 +89,30 @@ def search(names: DataFrame, entries: DataFrame, threshold: float = 0.85, algori
     return matches(names, entries, threshold, algorithms, name_col).join(facts, "entry_id").orderBy(F.desc("score"), "matched_name", "entry_id")
 
 
-def screening_hits(txns: DataFrame, sanctions: DataFrame, pep: DataFrame | None, params: dict) -> DataFrame:
-    """counterparty and screening: the hits that every transaction with this counterparty gets."""
+def screen_name(name: str, sanctions: DataFrame, pep: DataFrame | None = None, threshold: float = 0.85, pep_threshold: float = 0.8, algorithms: Sequence[str] = DEFAULT_ALGORITHMS) -> DataFrame:
+    """search() of one name in both lists; the list of politically exposed persons is asked with the lower of the thresholds."""
+    asked = sanctions.sparkSession.createDataFrame([(name,)], "name string")
+    out = search(asked, sanctions, threshold, algorithms).withColumn("list", F.lit("sanctions"))
+    if pep is not None:
+        out = out.unionByName(search(asked, pep, min(threshold, pep_threshold), algorithms).withColumn("list", F.lit("pep")))
+    return out.orderBy("list", F.desc("score"), "matched_name", "entry_id")
+
+
+def keyword_hits(names: DataFrame, params: dict) -> DataFrame:
+    """What stands in for a list where none is loaded: counterparty and h, one hit for the first keyword in it."""
+    from ledgerwatch.operators.rules import first_keyword, hit
+
+    word = first_keyword(F.col("counterparty"), [k.lower() for k in params.get("keywords", ())])
+    reason = F.concat(F.lit("Counterparty name matches sanctions keyword: '"), F.col("k"), F.lit("'"))
+    h = hit("SanctionsScreening", {"severity": "high", **params}, reason, counterparty=F.col("counterparty"), keyword=F.col("k"), method=F.lit("keyword_fallback"))
+    return names.distinct().withColumn("k", word).where("k is not null").select("counterparty", h.alias("h"))
+
+
+def screening_hits(txns: DataFrame, sanctions: DataFrame | None, pep: DataFrame | None, params: dict) -> DataFrame:
+    """counterparty and screening: the hits that every transaction with this counterparty gets.
+
+    One hit for each entry of a list; without a list of sanctions, keywords take its place.
+    """
     names = txns.select("counterparty")
 
     def of(entries: DataFrame, rule: str, threshold: float, delta: float, severity):
@@ -101,7 +127,10 @@ def screening_hits(txns: DataFrame, sanctions: DataFrame, pep: DataFrame | None,
             evidence.alias("evidence"), F.lit(float(delta)).alias("score_delta"),
         ).alias("h"))
 
-    out = of(sanctions, "SanctionsScreening", params["threshold"], params["score_delta"], F.lit("high"))
+    if sanctions is None:
+        out = keyword_hits(names, params)
+    else:
+        out = of(sanctions, "SanctionsScreening", params["threshold"], params["score_delta"], F.lit("high"))
     if pep is not None:
         level = F.when(F.lower("risk_level") == "high", "high").otherwise("medium")
         out = out.unionByName(of(pep, "SanctionsScreening", params["pep_threshold"], 0.8 * params["score_delta"], level))

@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerwatch.sources.shared import ranged
+
 
 def percentile(values: DataFrame, col: str, p: float) -> DataFrame:
     """One row, value: the element at floor(p * n), at most the last, in order; none for an empty table.
@@ -15,15 +17,15 @@ def percentile(values: DataFrame, col: str, p: float) -> DataFrame:
     Distinct values with their counts are added up over ranges, so no task sorts all rows.
     """
     counts = values.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("c"))
-    ranged = counts.repartitionByRange("value").withColumn("part", F.spark_partition_id())
+    parts = ranged(counts, "value", "part")
     from pyspark.sql.window import Window
 
     back = Window.unboundedPreceding
     inside = F.sum("c").over(Window.partitionBy("part").orderBy("value").rowsBetween(back, 0))
-    sums = ranged.groupBy("part").agg(F.sum("c").alias("s"))
+    sums = parts.groupBy("part").agg(F.sum("c").alias("s"))
     before = sums.select("part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(back, -1)), F.lit(0)).alias("b"))
     total = sums.agg(F.sum("s").alias("n"))
-    placed = ranged.withColumn("i", inside).join(F.broadcast(before), "part").crossJoin(F.broadcast(total))
+    placed = parts.withColumn("i", inside).join(F.broadcast(before), "part").crossJoin(F.broadcast(total))
     k = F.least(F.floor(F.lit(p) * F.col("n")), F.col("n") - 1)
     last = F.col("b") + F.col("i")
     return placed.where((last > k) & (last - F.col("c") <= k)).select("value")

@@ -243,6 +243,30 @@ ORACLES: dict[str, str] = {
     "run_bundle": f"""WITH {_L4}, {_CASES}, {_LOGS}, {_ITEMS} SELECT 'alerts' AS part, count(*)::BIGINT AS n FROM a WHERE id % 5 = 2 UNION ALL SELECT 'audit_logs', count(*) FROM l WHERE id % 5 = 2
       UNION ALL SELECT 'cases', count(*) FROM c WHERE id % 5 = 2 UNION ALL SELECT 'transactions', count(*) FROM a WHERE id % 5 = 2 UNION ALL SELECT 'case_items', count(*) FROM i WHERE case_id % 5 = 2""",
     "dashboard": f"WITH {_L4} SELECT severity, status, count(*)::BIGINT AS n, round(avg(score), 4) AS mean_score FROM a GROUP BY ALL",
+    "money_trace": f"""WITH {_L1}, t AS (SELECT account_id, lower(counterparty) AS counterparty, round(sum(amount), 2) AS total_amount, count(*)::BIGINT AS txn_count
+      FROM l1 WHERE direction = 'out' AND ts >= TIMESTAMP '2024-01-31' - INTERVAL 90 DAYS GROUP BY ALL),
+      f AS (SELECT t.*, coalesce(u.id, -1)::BIGINT AS child FROM t LEFT JOIN (SELECT DISTINCT account_id AS id FROM l1) u ON counterparty = 'cp ' || (2 * u.id)),
+      s0 AS (SELECT min(account_id) AS v FROM l1),
+      d1 AS (SELECT f.*, 1::BIGINT AS depth FROM f WHERE account_id IN (SELECT v FROM s0) AND child NOT IN (SELECT v FROM s0)), s1 AS (FROM s0 UNION SELECT child FROM d1 WHERE child >= 0),
+      d2 AS (SELECT f.*, 2::BIGINT AS depth FROM f WHERE account_id IN (SELECT child FROM d1 WHERE child >= 0) AND child NOT IN (SELECT v FROM s1)
+        QUALIFY child < 0 OR account_id = min(account_id) OVER (PARTITION BY child)), s2 AS (FROM s1 UNION SELECT child FROM d2 WHERE child >= 0),
+      d3 AS (SELECT f.*, 3::BIGINT AS depth FROM f WHERE account_id IN (SELECT child FROM d2 WHERE child >= 0) AND child NOT IN (SELECT v FROM s2)
+        QUALIFY child < 0 OR account_id = min(account_id) OVER (PARTITION BY child))
+      SELECT account_id AS parent, child, counterparty, total_amount, txn_count, depth FROM (FROM d1 UNION ALL FROM d2 UNION ALL FROM d3)""",
+    "screening_alerts": f"""WITH {_L1}, q(e, name, alias, sev) AS (VALUES (0, 'CP 13', 'cp 13', 'high'), (0, 'CP 13', 'cp 31', 'high'), (1, 'Cp 70', 'cp 70', 'medium')),
+      m AS (SELECT c, e, name, sev, round(max(1 - levenshtein(lower(c), alias)::DOUBLE / greatest(length(c), length(alias))), 4) AS s
+        FROM (SELECT DISTINCT counterparty AS c FROM l1), q GROUP BY ALL),
+      h AS (SELECT c, name, 'high' AS severity, 30.0::DOUBLE AS score, s FROM m WHERE s >= 0.79 UNION ALL SELECT c, name, sev, 24.0::DOUBLE, s FROM m WHERE s >= 0.99)
+      SELECT id AS transaction_id, 'SanctionsScreening' AS rule_id, severity, score, name AS matched_name, s AS confidence FROM l1 JOIN h ON counterparty = c""",
+    "keyword_screening": f"""WITH {_L1}, t AS (SELECT id, CASE WHEN contains(lower(counterparty), 'p 13') THEN 'p 13' WHEN contains(lower(counterparty), 'cp 7') THEN 'cp 7' END AS keyword FROM l1)
+      SELECT id AS transaction_id, 'high' AS severity, 30.0::DOUBLE AS score, keyword FROM t WHERE keyword IS NOT NULL""",
+    "transactions_in_context": """SELECT o_orderkey AS id, o_custkey AS account_id, n_nationkey::BIGINT AS customer_id, o_totalprice AS amount, n_regionkey::DOUBLE AS base_risk
+      FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
+    "alerts_between": f"WITH {_L4} SELECT id, severity, account_id FROM a WHERE created_at BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'",
+    "ingest_counts": f"""WITH {_DIRTY} SELECT count(*)::BIGINT AS rows_read, count(reason)::BIGINT AS rows_rejected, (count(*) - count(reason))::BIGINT AS rows_inserted FROM k""",
+    "redacted_lines": f"""WITH {_L1} SELECT id, 'alert ' || id || ' (Counterparty=[REDACTED], merchant=[REDACTED]) amount=' || amount::VARCHAR AS line FROM l1""",
+    "planted_patterns": """SELECT CASE WHEN i < 5 THEN 'velocity' WHEN i < 8 THEN 'structuring' WHEN i < 12 THEN 'countries' WHEN i < 14 THEN 'ring' WHEN i < 15 THEN 'listed' END AS pattern,
+      count(*)::BIGINT AS n, count(*)::BIGINT AS n_ids FROM (SELECT (row_number() OVER () - 1) % 1000 AS i FROM orders) GROUP BY ALL""",
     "stream_dedup": "SELECT event_id, event_type FROM events",
     "stream_sliding_stats": f"""WITH {_L1}, t AS (SELECT id, account_id, amount, counterparty, count(*) OVER w AS n, sum(amount) OVER w AS total, count(DISTINCT counterparty) OVER w AS cp FROM l1
       WINDOW w AS (PARTITION BY account_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW))

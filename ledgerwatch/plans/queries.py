@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.config import DEFAULTS, merged
 from ledgerwatch.functions import parsing, scoring
+from ledgerwatch.functions.redaction import redacted
 from ledgerwatch.functions.text import jaro_winkler_udf, levenshtein_similarity, phonetic_similarity
 from ledgerwatch.operators import features, graph, lifecycle, paging, reporting, rules, screening, tuning
 from ledgerwatch.plans import rule_pack
 from ledgerwatch.schemas import NAME_LIST
-from ledgerwatch.sources import ledger_files
+from ledgerwatch.sources import ledger_files, synthetic
 from ledgerwatch.sources.adapters import alerts_of_orders, cases_of_customers, ledger_deliveries, ledger_events, ledger_lineitem, ledger_orders, table
 from ledgerwatch.sources.shared import shared_dir
 
@@ -245,6 +246,15 @@ def money_flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("account_id", "counterparty", F.round("total_amount", 2).alias("total_amount"), "txn_count", "to_account")
 
 
+def money_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where money of the account of the least id goes, three steps far; every second counterparty is an account."""
+    t = ledger_events(spark, sf_dir)
+    accounts = t.select(F.col("account_id").alias("id")).distinct().withColumn("iban_or_acct", F.concat(F.lit("CP "), (2 * F.col("id")).cast("string")))
+    f = graph.flow_edges(t, accounts, at(EVENTS_END), lookback_days=90)
+    out = graph.trace_flow(f, t.agg(F.min("account_id")).first()[0])
+    return out.select("parent", "child", "counterparty", F.round("total_amount", 2).alias("total_amount"), "txn_count", F.col("depth").cast("bigint").alias("depth"))
+
+
 def label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.label_propagation(_pairs_of_accounts(spark, sf_dir))
 
@@ -299,6 +309,67 @@ def pep_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.search(_names(spark, sf_dir), _list_frame(spark), 0.35, ("exact", "levenshtein"), country="ir").select("name", "entry_id", "score")
 
 
+#: Names of counterparties with the keyword that stands for them where no list is loaded.
+LISTED_PARTIES = [(0, "CP 13", ["CP 31"], "high"), (1, "Cp 70", [], "low")]
+
+
+def _screened(spark: SparkSession, sf_dir: str, sanctions: bool) -> DataFrame:
+    """Scores by the screening rule alone, with the list also taken as one of politically exposed persons."""
+    from ledgerwatch.plans.run import hits_of_run
+
+    others = {name: {"enabled": False} for name in CONFIG["rules"]}
+    mine = {"enabled": True, "threshold": 0.79, "pep_threshold": 0.99, "algorithms": ["exact", "levenshtein"], "keywords": ["p 13", "cp 7"]}
+    rows = [(i, n, a, "individual", "custom", "US", None, r, {}) for i, n, a, r in LISTED_PARTIES]
+    listed = spark.createDataFrame(rows, NAME_LIST)
+    return hits_of_run(ledger_events(spark, sf_dir), merged(CONFIG, {"rules": {**others, "sanctions_screening": mine}}), EVENTS_END, listed if sanctions else None, listed if sanctions else None)
+
+
+def screening_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.alerts_of(_screened(spark, sf_dir, True)).select("transaction_id", "rule_id", "severity", "score", "evidence_fields")
+    name = F.get_json_object("evidence_fields", "$.matched_name")
+    return out.select("transaction_id", "rule_id", "severity", "score", name.alias("matched_name"), F.get_json_object("evidence_fields", "$.match_confidence").cast("double").alias("confidence"))
+
+
+def keyword_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.alerts_of(_screened(spark, sf_dir, False))
+    return out.select("transaction_id", "severity", "score", F.get_json_object("evidence_fields", "$.keyword").alias("keyword"))
+
+
+def transactions_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions with account and customer, as a run of the rules joins them."""
+    from ledgerwatch.plans.run import in_context
+
+    c = table(spark, sf_dir, "customer")
+    accounts = c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("bigint").alias("customer_id"))
+    customers = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_regionkey").cast("double").alias("base_risk"))
+    return in_context(ledger_orders(spark, sf_dir), accounts, customers).select("id", "account_id", "customer_id", "amount", "base_risk")
+
+
+def alerts_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of one year, its first and its last day included."""
+    a = paging.between(alerts_of_orders(spark, sf_dir), "created_at", at(datetime(1998, 1, 1)), at(datetime(1998, 12, 31)))
+    return a.select("id", "severity", "account_id")
+
+
+def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _normalized(spark, sf_dir)
+    return ledger_files.ingest_counts(rows, ledger_files.split_rejects(rows)[0])
+
+
+def redacted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of a log for each transaction, without names."""
+    t = ledger_events(spark, sf_dir)
+    line = F.format_string("alert %d (Counterparty: %s, merchant=%s) amount=%s", F.col("id"), F.regexp_replace("counterparty", " ", "_"), "merchant", F.col("amount").cast("string"))
+    return t.select("id", redacted(line).alias("line"))
+
+
+def planted_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a made-up ledger, a row for each order, holds of each pattern."""
+    n = table(spark, sf_dir, "orders").count()
+    made = synthetic.ledger(spark, n)
+    return made.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("external_id").alias("n_ids"))
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select("transaction_id", "account_id", *[F.round(c, 4).alias(c) for c in features.NAMES])
 
@@ -474,5 +545,6 @@ QUERIES: dict[str, Query] = {
     connected_components, suspicious_communities, fuzzy_levenshtein, fuzzy_jaro_winkler, phonetic_match, name_screening, pep_screening, feature_matrix,
     online_features, anomaly_scores, tune_thresholds, tune_velocity, kpi_summary, kpi_by_severity, kpi_by_disposition, kpi_trend, kpi_backlog,
     kpi_top_rules, overdue_cases, timeline_metrics, sar_rollup, sar_flat, chain_verify, audit_summary, alerts_page, case_view, case_moves, run_bundle,
-    dashboard, stream_dedup, stream_sliding_stats,
+    dashboard, stream_dedup, stream_sliding_stats, money_trace, screening_alerts, keyword_screening, transactions_in_context, alerts_between,
+    ingest_counts, redacted_lines, planted_patterns,
 )}

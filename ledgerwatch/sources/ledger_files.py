@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ledgerwatch.functions import parsing
 from ledgerwatch.functions.text import stripped
 from ledgerwatch.sources import columns
+from ledgerwatch.sources.shared import ranged
 
 JSON_SCHEMA = ", ".join(f"{f} string" for f in (*columns.FIELDS, "_corrupt_record"))
 
@@ -93,6 +94,18 @@ def reject_summary(rows: DataFrame) -> DataFrame:
     return bad.groupBy(kind.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def first_rejects(rows: DataFrame, most: int = 500) -> DataFrame:
+    """The reasons of the first rejected rows, in the order in which the files are read, most at the utmost."""
+    _, bad = split_rejects(rows)
+    return bad.select("reject_reason").limit(most)
+
+
+def ingest_counts(rows: DataFrame, inserted: DataFrame) -> DataFrame:
+    """One row: rows read, rejected and inserted."""
+    read = rows.agg(F.count(F.lit(1)).alias("rows_read"), F.count("reject_reason").alias("rows_rejected"))
+    return read.join(F.broadcast(inserted.agg(F.count(F.lit(1)).alias("rows_inserted"))))
+
+
 @dataclass(frozen=True)
 class Tables:
     customers: DataFrame
@@ -123,12 +136,12 @@ def numbered(rows: DataFrame, order: str, start: int) -> DataFrame:
 
     Rows are ranged by the order; each partition's count shifts the ranks of those behind it.
     """
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id())
+    parts = ranged(rows, order)
     inside = F.row_number().over(Window.partitionBy("__p").orderBy(order))
-    counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
+    counts = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__o"))
-    out = ranged.withColumn("__i", inside).join(F.broadcast(offsets), "__p")
+    out = parts.withColumn("__i", inside).join(F.broadcast(offsets), "__p")
     return out.withColumn("id", (F.col("__i") + F.col("__o") + start).cast("bigint")).drop("__p", "__i", "__o")
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +25,13 @@ def ready_to_checkpoint(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_dir(spark))
+
+
+def ranged(df: DataFrame, order: str, part: str = "__p") -> DataFrame:
+    """df dealt into ranges of order, and the number of each row's range, rising with order.
+
+    It is written to the shared folder: plans that read it twice see the same ranges, whatever
+    is run again or merged by adaptive execution.
+    """
+    ready_to_checkpoint(df.sparkSession)
+    return df.repartitionByRange(order).withColumn(part, F.spark_partition_id()).checkpoint()

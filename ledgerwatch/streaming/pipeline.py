@@ -115,13 +115,20 @@ def run_rules(
     from ledgerwatch.operators.rules import alerts_of
     from ledgerwatch.plans.rule_pack import scored
 
+    longest = max((p.get("window_minutes", 0) for p in config["rules"].values() if p.get("enabled", True)), default=0)
+
     def each(batch: DataFrame, number: int) -> None:
         # Known transactions and repeats in the batch fall out by their id.
         fresh = batch.dropDuplicates(["external_id"]).withColumn("id", F.xxhash64("external_id"))
         past = history()
         fresh = fresh.join(past.select("id"), "id", "left_anti")
         names = ["id", "account_id", "customer_id", "ts", "amount", "counterparty", "country", "base_risk"]
-        near = past.join(fresh.select("account_id").distinct(), "account_id", "left_semi").select(*names).withColumn("__new", F.lit(False))
+        # Windows reach back by the longest one at most, over accounts and over the customers that own them.
+        oldest = fresh.agg(F.min("ts")).first()[0]
+        if oldest is None:
+            return
+        near = past.where(F.col("ts") >= F.lit(oldest) - F.make_dt_interval(mins=F.lit(longest)))
+        near = near.join(fresh.select("customer_id").distinct(), "customer_id", "left_semi").select(*names).withColumn("__new", F.lit(False))
         rows = fresh.select(*names).withColumn("__new", F.lit(True)).unionByName(near)
         out = scored(rows, config).where("__new").drop("__new")
         alerts = alerts_of(out).dropDuplicates(["transaction_id", "rule_id"]).withColumn("correlation_id", F.lit(f"stream-{number}"))

@@ -166,7 +166,7 @@ def test_pages(spark):
 
 def test_reports(spark):
     doc = reporting.sar_document({"case_id": 1, "total_amount": 5.0, "period_start": T0, "period_end": T0, "channels": ["a"], "rule_ids": None, "txn_count": 1, "account_ids": [3]}, {"name": "B & Co"})
-    assert "<name>B &amp; Co</name>" in reporting.to_xml(doc)
+    assert "<Name>B &amp; Co</Name>" in reporting.to_xml(doc)
     import io
     import zipfile
 
