@@ -14,7 +14,8 @@ def read_table(spark: SparkSession, url: str, table: str, key: str | None = None
     reader = lambda t: spark.read.format("jdbc").options(**options).option("url", url).option("dbtable", t)
     if key is None:
         return reader(table).load()
-    low, high = reader(f"(SELECT MIN({key}) AS low, MAX({key}) AS high FROM {table}) ends").load().first()
+    quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    low, high = reader(f"(SELECT MIN({quoted}) AS low, MAX({quoted}) AS high FROM {table}) ends").load().first()
     if low is None:
         return reader(table).load()
     return reader(table).options(partitionColumn=key, lowerBound=int(low), upperBound=int(high) + 1, numPartitions=parts).load()
