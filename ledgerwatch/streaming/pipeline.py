@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterable, Mapping
 from typing import Any
 
@@ -50,6 +52,11 @@ def deduplicated(stream: DataFrame, keys: list[str], delay: str = "1 hour") -> D
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
+def _number(amount: float | None) -> float:
+    """An amount as a sum takes it: nothing for one that is missing."""
+    return 0.0 if amount is None or amount != amount else amount
+
+
 def sliding_stats(stream: DataFrame, seconds: int = 900, delay: str = "1 hour") -> DataFrame:
     """For each event, count, sum and distinct counterparties of its account's last seconds; state per account.
 
@@ -61,18 +68,27 @@ def sliding_stats(stream: DataFrame, seconds: int = 900, delay: str = "1 hour")
         if state.hasTimedOut:
             state.remove()
             return
-        held = pd.DataFrame(json.loads(state.get[0]), columns=["us", "amount", "counterparty"]) if state.exists else pd.DataFrame(columns=["us", "amount", "counterparty"])
+        held = [tuple(e) for e in json.loads(state.get[0])] if state.exists else []
         for pdf in batches:
-            pdf = pdf.sort_values("us")
-            held = pd.concat([held, pdf[["us", "amount", "counterparty"]]], ignore_index=True)
-            out = []
-            for r in pdf.itertuples():
-                inside = held[(held["us"] >= r.us - seconds * 1_000_000) & (held["us"] <= r.us)]
-                out.append((key[0], r.event_id, len(inside), float(inside["amount"].sum()), inside["counterparty"].nunique()))
-            held = held[held["us"] >= held["us"].max() - seconds * 1_000_000]
+            new = sorted(zip(pdf["us"].tolist(), pdf["amount"].tolist(), pdf["counterparty"].tolist(), pdf["event_id"].tolist(), strict=True), key=lambda e: e[0])
+            held = sorted(held + [e[:3] for e in new], key=lambda e: e[0])
+            # Both ends of the window only move on, so each event comes in once and goes once.
+            out, first, end, total, names = [], 0, 0, 0.0, Counter()
+            for us, _, _, event in new:
+                while end < len(held) and held[end][0] <= us:
+                    total, end = total + _number(held[end][1]), end + 1
+                    names[held[end - 1][2]] += 1
+                while held[first][0] < us - seconds * 1_000_000:
+                    total, gone, first = total - _number(held[first][1]), held[first][2], first + 1
+                    names[gone] -= 1
+                    if not names[gone]:
+                        del names[gone]
+                out.append((key[0], event, end - first, total, len(names) - (None in names)))
+            if held:
+                held = held[bisect_left(held, held[-1][0] - seconds * 1_000_000, key=lambda e: e[0]) :]
             yield pd.DataFrame(out, columns=["account_id", "event_id", "n", "total", "counterparties"])
-        state.update((json.dumps(held.astype(object).values.tolist()),))
-        state.setTimeoutTimestamp(max(int(held["us"].max() // 1000) + 1000 * seconds, state.getCurrentWatermarkMs() + 1))
+        state.update((json.dumps(held),))
+        state.setTimeoutTimestamp(max((held[-1][0] if held else 0) // 1000 + 1000 * seconds, state.getCurrentWatermarkMs() + 1))
 
     rows = stream.withWatermark("ts", delay).select("account_id", "event_id", F.unix_micros("ts").alias("us"), "amount", "counterparty", "ts")
     return rows.groupBy("account_id").applyInPandasWithState(
