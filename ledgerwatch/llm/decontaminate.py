@@ -9,12 +9,13 @@ one of them in it. So the search loses nothing, and what it finds is verified by
 exact containment of the shingles themselves.
 
 Plan: shingle hashes of each text are exploded and joined with the sketches,
-which are broadcast while they are few (BROADCAST_ROWS) and shuffled otherwise;
+which are broadcast while they are small (BROADCAST_ROWS, BROADCAST_BYTES) and shuffled otherwise;
 the texts of candidates alone are read again for the verification.
 
 Defined cases: a null or empty item is in no document; an item of fewer words
 than n is one shingle of all its words; repeated rows of one id and text give
-each pair once; null ids are ids like others.
+each pair once; null ids are ids like others; a very long text is exploded shingle by
+shingle, and nothing of it is cut; other columns of any name play no part.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.llm.common import ascii_lower, words, written
 
-#: A side of a join is broadcast up to so many rows.
+#: A side of a join is broadcast up to so many rows and so many bytes of its values as JSON.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 * 2**20
 
 
 def _runs(width: Column, w: Column, n: int, make) -> Column:
@@ -64,8 +66,10 @@ def _hashes(w: str, width: int) -> Column:
     return F.when(F.size(w) >= width, runs).otherwise(F.array().cast("array<bigint>"))
 
 
-def _sided(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _sided(df: DataFrame) -> DataFrame:
+    """df, which is written, to be broadcast if it is within both bounds."""
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
 def leaks(
@@ -77,7 +81,6 @@ def leaks(
     With text_hash, a column of that name has the hash of the document's text, for without_leaks.
     """
     items = written(items_of(bench, n, item_id, text_col), "leak-items")
-    n_items = items.count()
     widths = [r[0] for r in items.select("width").distinct().orderBy("width").collect()]  # n at most
     text = F.col(f"`{text_col}`")
     if not widths:
@@ -88,17 +91,17 @@ def leaks(
     base = docs.select(F.col(f"`{doc_id}`").alias("d"), F.xxhash64(text).alias("t"), words(ascii_lower(text)).alias("w"))
     hashes = F.concat(*[_hashes("w", k) for k in widths])
     seen = base.select("d", "t", F.explode(hashes).alias("h"))
-    found = seen.join(_sided(sketch, sketch.count()), "h").select("d", "t", "__item")
+    found = seen.join(_sided(sketch), "h").select("d", "t", "__item")
     by_doc = written(found.groupBy("d", "t").agg(F.collect_set("__item").alias("found")), "leak-candidates")
     # Texts of candidates, each with its few items.
     again = docs.select(F.col(f"`{doc_id}`").alias("d2"), F.xxhash64(text).alias("t2"), text.alias("text"))
-    side = _sided(by_doc, by_doc.count())
+    side = _sided(by_doc)
     again = again.join(side, F.col("d2").eqNullSafe(F.col("d")) & (F.col("t2") == F.col("t"))).select("d", "t", "found", "text")
     again = again.select("d", "t", "found", words(ascii_lower(F.col("text"))).alias("w"))
     own = F.array_distinct(F.flatten(F.array(*[_texts("w", k) for k in widths])))
     pairs = again.select("d", "t", own.alias("own"), F.explode("found").alias("__item"))
     facts = items.select("__item", "id", "shingles")
-    both = pairs.join(_sided(facts, n_items), "__item")
+    both = pairs.join(_sided(facts), "__item")
     both = both.select("d", "t", "id", F.size("shingles").cast("bigint").alias("n_shingles"), F.size(F.array_intersect("shingles", "own")).cast("bigint").alias("n_shared"))
     kept = both.where(F.col("n_shared") * den >= F.col("n_shingles") * num).distinct()
     return kept.select(
@@ -116,4 +119,4 @@ def without_leaks(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", tex
     """The rows of docs whose id and text are in no leak; found comes from leaks with text_hash. Null ids are ids like others."""
     gone = written(found.select(F.col(f"`{doc_id}`").alias("__d"), F.col(f"`{text_hash}`").alias("__t")).distinct(), "leak-ids")
     same = docs[doc_id].eqNullSafe(F.col("__d")) & (F.xxhash64(docs[text_col]) == F.col("__t"))
-    return docs.join(_sided(gone, gone.count()), same, "left_anti")
+    return docs.join(_sided(gone), same, "left_anti")
