@@ -52,9 +52,39 @@ def deduplicated(stream: DataFrame, keys: list[str], delay: str = "1 hour") -> D
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def _number(amount: float | None) -> float:
-    """An amount as a sum takes it: nothing for one that is missing."""
-    return 0.0 if amount is None or amount != amount else amount
+def _missing(amount: float | None) -> bool:
+    return amount is None or amount != amount
+
+
+class _Sums:
+    """The sum of a queue's amounts, null where none is there, as in SQL.
+
+    Nothing is taken off a sum: amounts that leave are at the end of sums of their own, so
+    none leaves a remainder behind.
+    """
+
+    def __init__(self) -> None:
+        self.new: list[float] = []
+        self.total = 0.0
+        self.old: list[float] = []
+
+    def put(self, amount: float) -> None:
+        self.new.append(amount)
+        self.total += amount
+
+    def drop(self) -> None:
+        if not self.old:
+            total = 0.0
+            while self.new:
+                total += self.new.pop()
+                self.old.append(total)
+            self.total = 0.0
+        self.old.pop()
+
+    def value(self) -> float | None:
+        if self.old:
+            return self.old[-1] + self.total
+        return self.total if self.new else None
 
 
 def sliding_stats(stream: DataFrame, seconds: int = 900, delay: str = "1 hour") -> DataFrame:
@@ -69,25 +99,32 @@ def sliding_stats(stream: DataFrame, seconds: int = 900, delay: str = "1 hour")
             state.remove()
             return
         held = [tuple(e) for e in json.loads(state.get[0])] if state.exists else []
+        # An account's rows of a batch come in several pieces and in no order: windows are made once all are here.
         for pdf in batches:
-            new = sorted(zip(pdf["us"].tolist(), pdf["amount"].tolist(), pdf["counterparty"].tolist(), pdf["event_id"].tolist(), strict=True), key=lambda e: e[0])
-            held = sorted(held + [e[:3] for e in new], key=lambda e: e[0])
-            # Both ends of the window only move on, so each event comes in once and goes once.
-            out, first, end, total, names = [], 0, 0, 0.0, Counter()
-            for us, _, _, event in new:
-                while end < len(held) and held[end][0] <= us:
-                    total, end = total + _number(held[end][1]), end + 1
-                    names[held[end - 1][2]] += 1
-                while held[first][0] < us - seconds * 1_000_000:
-                    total, gone, first = total - _number(held[first][1]), held[first][2], first + 1
-                    names[gone] -= 1
-                    if not names[gone]:
-                        del names[gone]
-                out.append((key[0], event, end - first, total, len(names) - (None in names)))
-            if held:
-                held = held[bisect_left(held, held[-1][0] - seconds * 1_000_000, key=lambda e: e[0]) :]
-            yield pd.DataFrame(out, columns=["account_id", "event_id", "n", "total", "counterparties"])
-        state.update((json.dumps(held),))
+            held += zip(pdf["us"].tolist(), pdf["amount"].tolist(), pdf["counterparty"].tolist(), pdf["event_id"].tolist(), strict=True)
+        held.sort(key=lambda e: e[0])
+        # Both ends of the window only move on, so each event comes in once and goes once.
+        out, first, end, sums, names = [], 0, 0, _Sums(), Counter()
+        for us, _, _, *event in held:
+            if not event:  # out already, in an earlier batch
+                continue
+            while end < len(held) and held[end][0] <= us:
+                if not _missing(held[end][1]):
+                    sums.put(held[end][1])
+                names[held[end][2]] += 1
+                end += 1
+            while held[first][0] < us - seconds * 1_000_000:
+                if not _missing(held[first][1]):
+                    sums.drop()
+                gone, first = held[first][2], first + 1
+                names[gone] -= 1
+                if not names[gone]:
+                    del names[gone]
+            out.append((key[0], event[0], end - first, sums.value(), len(names) - (None in names)))
+        yield pd.DataFrame(out, columns=["account_id", "event_id", "n", "total", "counterparties"])
+        if held:
+            held = held[bisect_left(held, held[-1][0] - seconds * 1_000_000, key=lambda e: e[0]) :]
+        state.update((json.dumps([e[:3] for e in held]),))
         state.setTimeoutTimestamp(max((held[-1][0] if held else 0) // 1000 + 1000 * seconds, state.getCurrentWatermarkMs() + 1))
 
     rows = stream.withWatermark("ts", delay).select("account_id", "event_id", F.unix_micros("ts").alias("us"), "amount", "counterparty", "ts")

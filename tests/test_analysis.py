@@ -174,6 +174,29 @@ def test_reports(spark):
     assert sorted(z.namelist()) == ["a.csv", "a.json", "b.json", "summary.json"] and json.loads(z.read("a.json")) == [{"id": 0}, {"id": 1}]
 
 
+def test_sliding_stats_of_an_account_in_pieces(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.integers(0, 3)), T0 + timedelta(seconds=int(rng.integers(0, 400))), [0.1, 0.2, 0.3, 0.0, None][int(rng.integers(0, 5))], [None, "a", "b"][int(rng.integers(0, 3))]) for i in range(240)]
+    # A sum from which others have been taken would leave a remainder for the last event.
+    rows += [(900, 9, T0, 0.1, "a"), (901, 9, T0, 0.2, "a"), (902, 9, T0, 0.3, "a"), (903, 9, T0 + timedelta(seconds=61), 0.0, "a"), (904, 9, T0 + timedelta(seconds=200), None, None)]
+    schema, folder, was = "event_id long, account_id long, ts timestamp, amount double, counterparty string", f"file://{tmp_path}/in", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(folder)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = pipeline.sliding_stats(spark.readStream.schema(schema).parquet(folder), 60)
+        out.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    got = {r["event_id"]: (r["n"], r["total"], r["counterparties"]) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    assert len(got) == len(rows)
+    for i, account, ts, _, _ in rows:
+        w = [r for r in rows if r[1] == account and ts - timedelta(seconds=60) <= r[2] <= ts]
+        amounts = [r[3] for r in w if r[3] is not None]
+        assert (got[i][0], got[i][2]) == (len(w), len({r[4] for r in w} - {None})), i
+        assert got[i][1] == (pytest.approx(sum(amounts)) if amounts else None), i
+    assert repr(got[903][1]) == "0.0"
+
+
 def test_stream_rules_equal_the_batch(spark, tmp_path):
     from ledgerwatch.config import DEFAULTS
     from ledgerwatch.operators.rules import alerts_of
