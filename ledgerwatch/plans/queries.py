@@ -140,7 +140,12 @@ def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of all order lines."""
-    return graph.build_edges(ledger_lineitem(spark, sf_dir))
+    return graph.build_edges(ledger_lineitem(spark, sf_dir), _lines(spark, sf_dir))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> int:
+    """The number of order lines, as the files state it."""
+    return table(spark, sf_dir, "lineitem").count()
 
 
 def _pairs_of_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:

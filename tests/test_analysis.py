@@ -41,6 +41,24 @@ def test_length_classes_lose_nothing(spark):
         assert slow <= fast
 
 
+def test_edges_are_dealt_by_the_ledger(spark):
+    rows = [(1, 1, "A ", "m", 0), (1, 1, "a", None, 5), (1, 2, "a", "M", 9), (2, 2, "b", " ", 1), (2, 1, "A", "m", 2), (3, None, "", "m", 3), (None, None, "c", None, 4)]
+    t = spark.createDataFrame([(a, c, p, m, T0 + timedelta(days=d)) for a, c, p, m, d in rows], "account_id long, customer_id long, counterparty string, merchant string, ts timestamp")
+    want = {}
+    for a, c, p, m, d in rows:
+        for e, k in ((("account", a, "counterparty"), p), (("account", a, "merchant"), m), (("customer", c, "counterparty"), p)):
+            if k and k.strip():
+                want.setdefault((*e, k.strip().lower()), []).append(T0 + timedelta(days=d))
+    want = {k: (min(v), max(v), len(v)) for k, v in want.items()}
+    many = 40 * graph.ENDS_PER_TASK
+    got = graph.build_edges(t, many)
+    assert {tuple(r)[:4]: tuple(r)[4:] for r in got.collect()} == {tuple(r)[:4]: tuple(r)[4:] for r in graph.build_edges(t).collect()} == want
+    for kind in graph.EDGE_KINDS:
+        assert {tuple(r)[:4] for r in graph.build_edges(t, kinds=[kind]).collect()} == {k for k in want if (k[0], k[2]) == kind}
+    # The tasks grow with the ledger.
+    assert got.rdd.getNumPartitions() >= 3 * 40
+
+
 def test_paths(spark):
     e = edges(spark, [(1, 2), (2, 3), (1, 4), (4, 3), (3, 5), (7, 8)])
     assert graph.shortest_path(e, 1, 5).first()["path"] == [1, 2, 3, 5]
