@@ -160,7 +160,8 @@ def build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = graph.build_edges(graph.since(ledger_lineitem(spark, sf_dir), "ts", at(RING_AT), 30))
+    # Dealt as the old ones are, so that they meet without another exchange.
+    new = graph.build_edges(graph.since(ledger_lineitem(spark, sf_dir), "ts", at(RING_AT), 30), _lines(spark, sf_dir))
     out = graph.upsert_edges(_supply_edges(spark, sf_dir), new)
     return out.select("src_type", "src_id", "dst_type", "dst_key", F.date_format("first_seen_at", "yyyy-MM-dd").alias("first_seen_at"), "txn_count")
 

@@ -59,6 +59,17 @@ def test_edges_are_dealt_by_the_ledger(spark):
     assert got.rdd.getNumPartitions() >= 3 * 40
 
 
+def test_merged_edges_meet_where_they_were_made(spark):
+    t = spark.createDataFrame([(i % 4, i % 4, f"c{i % 3}", "m", T0 + timedelta(days=i)) for i in range(30)], "account_id long, customer_id long, counterparty string, merchant string, ts timestamp")
+    many = 40 * graph.ENDS_PER_TASK
+    old, new = graph.build_edges(t, many), graph.build_edges(t.where(F.col("ts") >= T0 + timedelta(days=20)), many)
+    both = graph.upsert_edges(old, new)
+    assert both._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert both.rdd.getNumPartitions() >= 3 * 40
+    was, now = ({tuple(r)[:4]: r["txn_count"] for r in e.collect()} for e in (old, new))
+    assert {tuple(r)[:4]: r["txn_count"] for r in both.collect()} == was | now
+
+
 def test_paths(spark):
     e = edges(spark, [(1, 2), (2, 3), (1, 4), (4, 3), (3, 5), (7, 8)])
     assert graph.shortest_path(e, 1, 5).first()["path"] == [1, 2, 3, 5]
