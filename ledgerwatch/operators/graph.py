@@ -64,6 +64,11 @@ def build_edges(txns: DataFrame, rows: int | None = None, kinds: Sequence[tuple[
     return out.select("e.src_type", "src_id", F.when(F.col("__m"), "merchant").otherwise("counterparty").alias("dst_type"), "dst_key", "e.f.*")
 
 
+def has_edge() -> Column:
+    """Whether a transaction makes an edge of its account."""
+    return (key(F.col("counterparty")) != "") | (key(F.col("merchant")) != "")
+
+
 def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     """old with new merged in: earlier first time, later last time, the new count; edges that are in neither go nowhere."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
@@ -153,6 +158,11 @@ def _cut(df: DataFrame, round_: int) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df made once, in the shared folder, for plans that read it many times."""
+    return _cut(df, CUT_EVERY)
+
+
 def k_hop(edges: DataFrame, start: int, hops: int) -> DataFrame:
     """node and its distance from start, up to hops."""
     pairs = undirected(edges)

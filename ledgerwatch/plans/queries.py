@@ -184,8 +184,11 @@ def account_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def account_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges of the account of the least id, in their order, and its ring."""
-    e = _supply_edges(spark, sf_dir)
-    start = e.where("src_type = 'account'").agg(F.min("src_id")).first()[0]
+    t, recent = ledger_lineitem(spark, sf_dir), at(RING_AT) - F.make_dt_interval(days=F.lit(30))
+    start = t.where(graph.has_edge()).agg(F.min("account_id")).first()[0]
+    # Only the account's own edges need all their transactions; of the others it asks which were seen lately.
+    near = t.where((F.col("account_id") == start) | (F.col("ts") >= recent))
+    e = graph.kept(graph.build_edges(near, kinds=[("account", "counterparty"), ("account", "merchant")]))
     out = graph.neighbourhood(e, start, at(RING_AT))
     return out.select("place", "dst_type", "dst_key", "txn_count", F.col("overlap_count").cast("bigint").alias("overlap_count"), F.col("linked").cast("bigint").alias("linked"), "degree")
 

@@ -70,6 +70,21 @@ def test_merged_edges_meet_where_they_were_made(spark):
     assert {tuple(r)[:4]: r["txn_count"] for r in both.collect()} == was | now
 
 
+def test_neighbourhood_sums_no_edges_of_all_accounts(spark, monkeypatch):
+    from ledgerwatch.plans import queries
+
+    # Account 1 makes no edge; 2 has old and new ones, 4 shares a counterparty with it too long ago.
+    rows = [(1, " ", "", -1), (2, "a", "m", -400), (2, "a", "m", -1), (2, "b", None, -1), (3, "A", "m", -2), (4, "b", "n", -60), (5, "b", "n", -60), (5, "B", "o", -3)]
+    t = spark.createDataFrame([(a, a, p, m, queries.RING_AT + timedelta(days=d)) for a, p, m, d in rows], "account_id long, customer_id long, counterparty string, merchant string, ts timestamp")
+    made, build = [], graph.build_edges
+    monkeypatch.setattr(queries, "ledger_lineitem", lambda *_: t)
+    monkeypatch.setattr(graph, "build_edges", lambda txns, *a, **k: made.append(txns.count()) or build(txns, *a, **k))
+    monkeypatch.setattr(queries, "table", lambda *_: t)
+    got = queries.account_neighbourhood(spark, "").collect()
+    assert [tuple(r) for r in got] == [(1, "counterparty", "a", 2, 2, 2, 2), (2, "counterparty", "b", 1, 2, 2, 2), (3, "merchant", "m", 2, 2, 2, 2)]
+    assert made == [6]
+
+
 def test_paths(spark):
     e = edges(spark, [(1, 2), (2, 3), (1, 4), (4, 3), (3, 5), (7, 8)])
     assert graph.shortest_path(e, 1, 5).first()["path"] == [1, 2, 3, 5]
