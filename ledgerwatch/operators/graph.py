@@ -165,7 +165,10 @@ def kept(df: DataFrame) -> DataFrame:
 
 def k_hop(edges: DataFrame, start: int, hops: int) -> DataFrame:
     """node and its distance from start, up to hops."""
-    pairs = undirected(edges)
+    return _k_hop(kept(undirected(edges)), start, hops)
+
+
+def _k_hop(pairs: DataFrame, start: int, hops: int) -> DataFrame:
     seen = pairs.sparkSession.createDataFrame([(start, 0)], "node long, hop int")
     front = seen
     for h in range(1, hops + 1):
@@ -184,8 +187,8 @@ def subgraph(edges: DataFrame, start: int, hops: int) -> DataFrame:
 def simple_paths(edges: DataFrame, start: int, end: int, max_hops: int) -> DataFrame:
     """path (array of nodes) of every simple path of at most max_hops edges; undirected."""
     # Only nodes that can still reach the end in time are walked on.
-    left = k_hop(edges, end, max_hops).select(F.col("node").alias("b"), F.col("hop").alias("to_go"))
-    pairs = undirected(edges)
+    pairs = kept(undirected(edges))
+    left = _k_hop(pairs, end, max_hops).select(F.col("node").alias("b"), F.col("hop").alias("to_go"))
     walks = pairs.sparkSession.createDataFrame([([start],)], "path array<long>")
     found = []
     for h in range(1, max_hops + 1):

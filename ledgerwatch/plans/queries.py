@@ -150,7 +150,12 @@ def _lines(spark: SparkSession, sf_dir: str) -> int:
 
 def _pairs_of_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src and dst of the projection of all deliveries, cut where loops start from it."""
-    return graph.projection(graph.build_edges(ledger_deliveries(spark, sf_dir))).select("src", "dst")
+    return graph.kept(graph.projection(_delivery_edges(spark, sf_dir)).select("src", "dst"))
+
+
+def _delivery_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of accounts and the parts that suppliers deliver to them, over all order lines."""
+    return graph.build_edges(ledger_deliveries(spark, sf_dir), _lines(spark, sf_dir), [("account", "counterparty")])
 
 
 def build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +183,7 @@ def ring_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def account_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = graph.projection(graph.build_edges(ledger_deliveries(spark, sf_dir)))
+    p = graph.projection(_delivery_edges(spark, sf_dir))
     return p.select("src", "dst", "txn_count", joined("shared_counterparties").alias("shared"), F.date_format("last_seen_at", "yyyy-MM-dd").alias("last_seen_at"))
 
 
@@ -215,12 +220,12 @@ def common_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ownership_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.ownership_links(graph.build_edges(ledger_deliveries(spark, sf_dir)))
+    return graph.ownership_links(_delivery_edges(spark, sf_dir))
 
 
 def ownership_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The owners around the account of the least id that has a link."""
-    e = graph.build_edges(ledger_deliveries(spark, sf_dir))
+    e = _delivery_edges(spark, sf_dir)
     start = graph.ownership_links(e).agg(F.min("account_id")).first()[0]
     c = table(spark, sf_dir, "customer")
     accounts = c.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("customer_id"))

@@ -85,6 +85,18 @@ def test_neighbourhood_sums_no_edges_of_all_accounts(spark, monkeypatch):
     assert made == [6]
 
 
+def test_pairs_of_accounts_are_made_once(spark, monkeypatch):
+    from ledgerwatch.plans import queries
+
+    seen = spark.sparkContext.accumulator(0)
+    look = F.udf(lambda k: seen.add(1) or k, "string").asNondeterministic()
+    t = spark.createDataFrame([(i, i, f"c{j}", "m", T0) for i, j in [(1, 1), (2, 1), (2, 2), (3, 2), (3, 3), (4, 3), (4, 4), (1, 4)]], "account_id long, customer_id long, counterparty string, merchant string, ts timestamp")
+    monkeypatch.setattr(queries, "ledger_deliveries", lambda *_: t.withColumn("counterparty", look("counterparty")))
+    monkeypatch.setattr(queries, "table", lambda *_: t)
+    assert sorted(r["path"] for r in queries.simple_paths(spark, "").collect()) == ["1,2,3,4", "1,4"]
+    assert seen.value <= 2 * t.count()
+
+
 def test_paths(spark):
     e = edges(spark, [(1, 2), (2, 3), (1, 4), (4, 3), (3, 5), (7, 8)])
     assert graph.shortest_path(e, 1, 5).first()["path"] == [1, 2, 3, 5]
