@@ -9,8 +9,9 @@ to AQE's skew splitting.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
-from itertools import count
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import count, groupby, islice
+from operator import itemgetter
 from typing import TextIO
 
 from pyspark.sql import Column, DataFrame
@@ -284,17 +285,22 @@ def louvain(edges: DataFrame, seed: int = 42, max_component: int = 200_000) -> D
     """
     import pandas as pd
 
-    comp = _cut(connected(edges), CUT_EVERY)
+    edges = kept(undirected(edges).where("a < b").toDF("src", "dst"))
+    comp = kept(connected(edges))
     size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     large = size.where(F.col("n") > max_component).select("component")
-    pairs = undirected(edges).where("a < b").join(comp.withColumnRenamed("node", "a"), "a")
+    pairs = edges.toDF("a", "b").join(comp.withColumnRenamed("node", "a"), "a")
     small = pairs.join(large, "component", "left_anti")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _louvain_local(list(zip(pdf["a"], pdf["b"], strict=True)), seed)
-        return pd.DataFrame({"node": list(found), "community": list(found.values())})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # A task's rows are sorted by component, which may go on in the next frame.
+        rows = ((c, (a, b)) for pdf in frames for c, a, b in zip(pdf["component"].tolist(), pdf["a"].tolist(), pdf["b"].tolist(), strict=True))
+        found = (x for _, part in groupby(rows, key=itemgetter(0)) for x in _louvain_local([p for _, p in part], seed).items())
+        while some := list(islice(found, 10_000)):
+            yield pd.DataFrame(some, columns=["node", "community"])
 
-    out = small.groupBy("component").applyInPandas(run, "node long, community long")
+    dealt = small.repartition("component").sortWithinPartitions("component").select("component", "a", "b")
+    out = dealt.mapInPandas(run, "node long, community long")
     rest = pairs.join(large, "component", "left_semi").select("component", "a", "b")
     return out.unionByName(_louvain_spread(rest)) if large.limit(1).count() else out
 

@@ -95,6 +95,8 @@ def test_pairs_of_accounts_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(queries, "table", lambda *_: t)
     assert sorted(r["path"] for r in queries.simple_paths(spark, "").collect()) == ["1,2,3,4", "1,4"]
     assert seen.value <= 2 * t.count()
+    sizes = {tuple(sorted(r)) for r in queries.louvain_communities(spark, "").collect()}
+    assert len(sizes) == 4 and seen.value <= 4 * t.count()
 
 
 def test_paths(spark):
